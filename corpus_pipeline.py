@@ -1,26 +1,70 @@
-"""A training-corpus pipeline out of the operators in gridloom.llm; STAGES are applied in order to `documents`."""
+"""A training-corpus pipeline out of the operators in gridloom.llm.
+
+STAGES are applied in order, each to what the one before has kept of `documents`. All but the last return the columns
+of documents; the last returns the packed pieces. Rows with a null doc_id are judged by their texts like any other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.llm.decontamination import without_leaks
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.packing import pack_documents
+from gridloom.llm.simhash_dedup import simhash_dedup
+from gridloom.llm.toxicity import THRESHOLD, scorer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def one_row_per_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in ids; of repeated rows with that id, and of rows without one, one each."""
+    kept = docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.select(*COLUMNS)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    score = scorer(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(score("text") < THRESHOLD).select(*COLUMNS)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts, the row with the largest doc_id."""
+    return one_row_per_id(docs, exact_dedup(docs).where("kept"))
+
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by near-equal fingerprints, the one with the smallest doc_id."""
+    return one_row_per_id(docs, simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
-STAGES = [("exact_dedup", exact_stage)]
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash_near_dedup", near_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: Scores, fingerprints and tokens are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.common import materialize
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,14 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_decontamination": "decontamination",
     "op2_license_scan": "license_scan",
+    "op3_packing": "packing",
     "op4_exact_dedup": "exact_dedup",
+    "op5_toxicity": "toxicity",
+    "op6_simhash_dedup": "simhash_dedup",
+    "op8_secret_scan": "secret_scan",
+    "op9_token_counts": "token_counts",
     "op10_line_dedup": "line_dedup",
 }
 
