@@ -18,10 +18,12 @@ from gridloom.llm.toxicity import THRESHOLD, scorer
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def one_row_per_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids; of repeated rows with that id, and of rows without one, one each."""
-    kept = docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.select(*COLUMNS)
+def only(docs: DataFrame, decide) -> DataFrame:
+    """The rows of docs that decide() returns. It gets the columns id and text, and ids that are one for each row and in the order of doc_id."""
+    # A scan of the same files numbers its rows alike each time.
+    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row"))
+    kept = decide(rows.select(F.struct("doc_id", "__row").alias("id"), "text"))
+    return rows.join(kept.select("doc_id.__row"), "__row", "left_semi").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +34,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
-    return one_row_per_id(docs, exact_dedup(docs).where("kept"))
+    return only(docs, lambda rows: exact_dedup(rows, "id").where("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by near-equal fingerprints, the one with the smallest doc_id."""
-    return one_row_per_id(docs, simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return only(docs, lambda rows: simhash_dedup(rows, "id").where("doc_id = component_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ _MODULES = {
     "op4_exact_dedup": "exact_dedup",
     "op5_toxicity": "toxicity",
     "op6_simhash_dedup": "simhash_dedup",
+    "op7_suffix_dedup": "suffix_dedup",
     "op8_secret_scan": "secret_scan",
     "op9_token_counts": "token_counts",
     "op10_line_dedup": "line_dedup",
