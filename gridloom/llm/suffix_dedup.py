@@ -6,8 +6,8 @@ strings are judged on the input, not on what is left.
 
 Equal strings are brought together by their content. A window of LENGTH bytes has a key, the smallest hash of its
 GRAM-byte pieces; equal windows have equal keys. Successive windows with one key make a segment.
-1. Keys that only one segment in the corpus has hold no repeats between segments; but a key whose windows repeat in
-   the same segment counts as shared. Keys are counted after a pre-aggregation in each task.
+1. Equal windows have their smallest piece at the same place, so a key with one such piece in the corpus holds no
+   repeats. These pieces are counted by key, after a pre-aggregation in each task.
 2. Segments with shared keys go to the task of their key; equal segments of a task are sent once, for their earliest
    owner, so a passage in a third of all documents stays small.
 3. A task sorts the suffixes of its segments as far as needed, makes the Burrows-Wheeler transform, and expands
@@ -73,6 +73,17 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return np.concatenate(keys), np.concatenate(starts), np.concatenate(counts)
 
 
+def key_places(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """The key once for each piece that has it and is the smallest of a window; so windows that repeat within one segment count twice."""
+    found, raw, width = [np.zeros(0, np.uint64)], np.frombuffer(data, np.uint8), length - gram + 1
+    for at in range(0, len(raw) - length + 1, _BLOCK):
+        h = gram_hashes(raw[at : at + _BLOCK + length - 1], gram)
+        rim = np.full(width - 1, np.uint64(2**64 - 1))
+        # The largest of the minima over a piece, as the smallest of their complements.
+        found.append(h[h == ~sliding_min(np.concatenate([rim, ~sliding_min(h, width), rim]), width)])
+    return np.concatenate(found)
+
+
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes of s (symbols under 512), sorted by their first `depth` symbols at least."""
     n, width = len(s), 7
@@ -200,7 +211,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def keys(batches):
         for batch in batches:
-            found = [segments((t or "").encode(), length)[0] for t in batch.column(2).to_pylist()]
+            found = [key_places((t or "").encode(), length) for t in batch.column(2).to_pylist()]
             k, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
