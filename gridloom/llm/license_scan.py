@@ -100,10 +100,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranks, need = sorted(rank[w] for w in t), math.ceil(threshold * len(t) - 1e-9)
         # The prefix: without one of these words, too few of the others are left.
         index += [(r, i, at, ranks, need, label) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
+    probed = {r for r, *_ in index}
     index = spark.createDataFrame(index, "rank int, template int, at int, ranks array<int>, need int, label string")
 
     ranks_of = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    rare = [w for w, r in rank.items() if r in {x["rank"] for x in index.select("rank").distinct().collect()}]
+    rare = [w for w, r in rank.items() if r in probed]
     # Blocks that hold a word at hit x are those that start at most block - 1 words before it.
     starts = F.flatten(F.transform(F.filter("hits", lambda x: x["w"].isin(rare)), lambda x: F.sequence(F.greatest(F.ceil((x["at"] - (block - 1)) / stride), F.lit(0)).cast("int"), F.floor(x["at"] / stride).cast("int"))))
     blocks = words.where(F.size("hits") > 0).select("row", "hits", F.explode(F.array_distinct(starts)).alias("b"))
