@@ -1,0 +1 @@
+"""Incremental use of the per-node merge states on streams of tiles."""
