@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents
 
@@ -193,7 +194,8 @@ def train(rows: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate:
         y[i, : len(tags)], on[i, : len(tags)] = tags, True
     one = np.eye(k)[y] * on[:, :, None]
     pair = on[:, 1:] & on[:, :-1]
-    seen_emit = np.einsum("itf,itk->fk", x, one)
+    flat = x.reshape(-1, len(NAMES))
+    seen_emit = flat.T @ one.reshape(-1, k)
     seen_move = np.einsum("itj,itk,it->jk", one[:, :-1], one[:, 1:], pair.astype(float))
 
     def lse(a, axis):
@@ -212,7 +214,7 @@ def train(rows: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate:
             b[:, t] = np.where(on[:, t + 1, None], lse(move + (s[:, t + 1] + b[:, t + 1])[:, None, :], 2), b[:, t + 1])
         p = np.exp(a + b - z[:, None, None]) * on[:, :, None]
         q = np.exp(a[:, :-1, :, None] + move + (s + b)[:, 1:, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
-        grads = [(seen_emit - np.einsum("itf,itk->fk", x, p)) / n - ridge * emit, (seen_move - q.sum((0, 1))) / n - ridge * move]
+        grads = [(seen_emit - flat.T @ p.reshape(-1, k)) / n - ridge * emit, (seen_move - q.sum((0, 1))) / n - ridge * move]
         for j, (w, g) in enumerate(zip((emit, move), grads, strict=True)):
             state[j] = 0.9 * state[j] + 0.1 * g
             state[j + 2] = 0.99 * state[j + 2] + 0.01 * g * g
@@ -237,8 +239,9 @@ def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Field:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.list_(pa.int32()))), pa.array(cols[3], pa.list_(pa.int32()))], names=["found", "at", "features", "tags"])
 
     rows = docs.mapInArrow(sample, "found boolean, at bigint, features array<array<int>>, tags array<int>")
-    picked = [rows.where(side).orderBy("at", "tags").limit(max_windows // 2) for side in ("found", "NOT found")]
-    picked = picked[0].union(picked[1])
+    # Tasks leave their own first ones only before these meet, so what meets is bounded for each task.
+    place = F.row_number().over(Window.partitionBy("found").orderBy("at", "tags"))
+    picked = rows.withColumn("place", place).where(F.col("place") <= max_windows // 2)
     return train(sorted((list(map(list, r["features"])), list(r["tags"])) for r in picked.collect()))
 
 
