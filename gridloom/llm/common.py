@@ -29,9 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write to a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Results are lazy and read these tables, so they stay; a folder by application is what to delete afterwards.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
