@@ -202,3 +202,23 @@ def test_netcdf_round_trip(spark, tmp_path):
     netcdf.write_grid(frame, str(tmp_path / "b.nc"))
     again = netcdf.read_grid(spark, f"{tmp_path / 'b.nc'}?v")
     assert sorted(map(tuple, again.df.collect()), key=str) == sorted(map(tuple, frame.df.collect()), key=str)
+
+
+def test_geometry(spark):
+    from gridloom.operators import geometry
+
+    a, b, c = Axis("x", 0, 0.5, 11), Axis("x", 2, 0.5, 11), Axis("x", 0.1, 0.5, 11)
+    assert geometry.co_registered(a, b) and not geometry.co_registered(a, c) and not geometry.co_registered(a, Axis("x", 0, 0.6, 5))
+    whole = geometry.union_lattice([Lattice((a,)), Lattice((b,))])
+    assert (whole.axes[0].lo, whole.axes[0].hi) == (0, 7)
+    moved = geometry.on_lattice(Lattice((b,)).nodes(spark).select("ix"), Lattice((b,)), Lattice((a,)))
+    assert sorted(r["ix"] for r in moved.collect()) == list(range(4, 11))
+    with pytest.raises(ValueError):
+        geometry.union_lattice([Lattice((a,)), Lattice((Axis("x", 0, 1, 5),))])
+    tiles = {"west": Lattice((Axis("x", -180, 1, 11),)), "east": Lattice((Axis("x", 100, 1, 11),))}
+    region = Lattice((Axis("x", 175, 1, 11),))
+    assert geometry.overlapping(tiles, region) == [] and geometry.overlapping(tiles, region, {"x": 360.0}) == ["west"]
+    assert one(spark, geometry.wrapped(F.lit(2), -5, 360)) == 357
+    df = spark.createDataFrame([(2.0, 3.0)], "vp double, rho double")
+    si = geometry.to_si(df, ["vp"], ["rho"], 1000, 1000)
+    assert tuple(si.first()) == (2000, 3000) and tuple(geometry.from_si(si, ["vp"], ["rho"], 1000, 1000).first()) == (2, 3)
