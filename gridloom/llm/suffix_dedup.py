@@ -84,54 +84,75 @@ def key_places(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarra
     return np.concatenate(found)
 
 
-def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of s (symbols under 512), sorted by their first `depth` symbols at least."""
-    n, width = len(s), 7
-    padded = np.concatenate([s.astype(np.int64), np.zeros(width, np.int64)])
-    key = np.zeros(n, np.int64)
-    for i in range(width):
-        key = key << 9 | padded[i : i + n]
-    while True:
-        order = np.argsort(key)
-        if width >= depth:
-            return order
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
-        if rank[order[-1]] == n:
-            return order
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] if width < n else 0
-        key, width = rank << 32 | after, 2 * width
-
-
-def boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
+#: Symbols in a packed word.
+PACK = 7
+
+
+def packed_words(s: np.ndarray) -> np.ndarray:
+    """The PACK symbols (under 512) from each place on, as one number; zeros follow the end."""
+    padded = np.concatenate([s.astype(np.int64), np.zeros(PACK, np.int64)])
+    key = np.zeros(len(s), np.int64)
+    for i in range(PACK):
+        key = key << 9 | padded[i : i + len(s)]
+    return key
+
+
+def suffix_order(key: np.ndarray, depth: int) -> np.ndarray:
+    """Starts of the suffixes sorted by their first `depth` symbols at least, from their packed words.
+
+    Prefix doubling; after the first round only suffixes that are equal so far are sorted again.
+    """
+    n, width = len(key), PACK
+    order = np.argsort(key)
+    new = np.concatenate([[True], np.diff(key[order]) != 0])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    while width < depth:
+        tied = np.flatnonzero(~new | ~np.concatenate([new[1:], [True]]))
+        if not len(tied):
+            break
+        at = order[tied]
+        after = at + width
+        two = rank[at] << 32 | np.where(after < n, rank[np.minimum(after, n - 1)], 0)
+        again = np.argsort(two)
+        order[tied], two = at[again], two[again]
+        new[tied] = np.concatenate([[True], np.diff(two) != 0])
+        rank[order[tied]] = np.maximum.accumulate(np.where(new[tied], tied, 0)) + 1
+        width *= 2
+    return order
+
+
+def boundaries(bwt: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
     """For each place in the suffix order, whether it has under `length` symbols in common with the one before.
 
-    Intervals of strings are extended backwards, shortest strings first: all that end at a new right boundary have as
-    common prefix length there the length reached before. A string has the separator 0 at its end only.
+    Intervals of strings are extended backwards, shortest strings first: a right boundary that is met for the first
+    time has as common prefix length the length reached before. A string has the separator 0 at its end only. key: the
+    packed words in suffix order, which show the strings of PACK symbols to start with, and all shorter common prefixes.
     """
     n = len(bwt)
     by_symbol = np.argsort(bwt, kind="stable")
     step = np.empty(n, np.int64)
     step[by_symbol] = np.arange(n)
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    for common in range(length):
+    known = np.concatenate([[True], np.diff(key) != 0, [True]])
+    lo = np.flatnonzero(known[:n])
+    hi = np.append(lo[1:], n)
+    whole = np.ones(len(lo), bool)
+    for i in range(1, PACK):
+        whole &= (key[lo] >> 9 * i & 511) != 0
+    lo, hi = lo[whole], hi[whole]
+    for _ in range(PACK, length):
         if not len(lo):
             break
         one = hi - lo == 1
         at = lo[one]
-        at = at[bwt[at] != 0] if common else at
+        at = at[bwt[at] != 0]
         first, count = [step[at]], [np.ones(len(at), np.int64)]
         lo, size = lo[~one], (hi - lo)[~one]
         if len(lo):
             which = np.repeat(np.arange(len(lo)), size)
             place = np.arange(len(which)) + np.repeat(lo - (np.cumsum(size) - size), size)
             c = bwt[place]
-            if common:
-                which, place, c = which[c != 0], place[c != 0], c[c != 0]
+            which, place, c = which[c != 0], place[c != 0], c[c != 0]
             _, at, n_of = np.unique(which << 9 | c, return_index=True, return_counts=True)
             first.append(step[place[at]])
             count.append(n_of)
@@ -149,8 +170,9 @@ def first_windows(texts: list[bytes], owners: np.ndarray, length: int = LENGTH)
     begins = np.cumsum(sizes) - sizes
     s = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     s[begins + sizes - 1] = 0
-    order = suffix_order(s, length + 1)
-    new = boundaries(s[order - 1], length)
+    key = packed_words(s)
+    order = suffix_order(key, length + 1)
+    new = boundaries(s[order - 1], key[order], length)
     of = np.repeat(np.arange(len(texts)), sizes)[order]
     inside = order - begins[of]
     valid = inside + length < sizes[of]
