@@ -169,36 +169,42 @@ def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_T
     tells = F.abs(F.log(a / b)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     top = seen.where("pos + neg >= 3").select("word", tells.alias("tells")).where(F.col("tells") >= MIN_TELLS).orderBy(F.desc("tells"), "word").limit(max_features)
     slot = {bytes(r["word"]): i for i, r in enumerate(top.collect())}
-    known = F.transform(F.array_intersect("words", F.array(*[F.lit(bytearray(w)) for w in slot]) if slot else F.array().cast("array<binary>")), lambda w: w)
-    data = rows.select("doc_id", "label", known.alias("words")).collect()
+
+    def encode(batches):
+        for batch in batches:
+            found = [np.array([slot[w] for w in words if w in slot], np.int32).tobytes() for words in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "slots"])
+
+    # Slots of words come back, packed; the words themselves stay where they are.
+    data = rows.mapInArrow(encode, "doc_id bigint, label int, slots binary").toArrow().sort_by("doc_id")
     rows.unpersist()
-    data.sort(key=lambda r: r["doc_id"])
     x = np.zeros((len(data), len(slot) + 1), np.float32)
-    for i, r in enumerate(data):
-        x[i, [slot[bytes(w)] for w in r["words"]]] = 1
+    for i, slots in enumerate(data.column("slots")):
+        x[i, np.frombuffer(slots.as_py(), np.int32)] = 1
     x[:, -1] = 1
-    y = np.array([r["label"] for r in data], np.float32)
+    y = data.column("label").to_numpy().astype(np.float32)
     weights = logistic(x, y)
     return {w: float(weights[i]) for w, i in slot.items()}, float(weights[-1])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 500) -> np.ndarray:
     """Ridge logistic regression by accelerated gradient steps; both labels weigh the same, the last column is the intercept and isn't shrunk."""
-    weigh = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w = z = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
+    share = min(max(float(y.mean()), 1e-9), 1 - 1e-9)
+    weigh = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    w = z = np.zeros(x.shape[1], np.float32)
+    shrink = np.full(x.shape[1], ridge, np.float32)
     shrink[-1] = 0
-    v = np.ones(len(x))
+    v = np.ones(len(x), np.float32)
     for _ in range(20):  # the largest eigenvalue bounds the step
         v = x @ (x.T @ v)
         v /= np.linalg.norm(v) or 1
-    step = 1 / (0.25 * float(weigh.max()) * float(v @ (x @ (x.T @ v))) + ridge)
+    step = np.float32(1 / (0.25 * float(weigh.max()) * float(v @ (x @ (x.T @ v))) + ridge))
     t = 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ z)))
         new = z - step * (x.T @ (weigh * (p - y)) + shrink * z)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        z, w, t = new + np.float32((t - 1) / t2) * (new - w), new, t2
     return w
 
 
