@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.decontamination import without_leaks
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.near_dedup import near_dedup
 from gridloom.llm.packing import pack_documents
-from gridloom.llm.simhash_dedup import simhash_dedup
 from gridloom.llm.toxicity import THRESHOLD, scorer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,8 +38,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by near-equal fingerprints, the one with the smallest doc_id."""
-    return only(docs, lambda rows: simhash_dedup(rows, "id").where("doc_id = component_id"))
+    """Of documents connected by five-word similarities of 0.8 or more, the one with the smallest doc_id."""
+    return only(docs, lambda rows: near_dedup(rows, "id").where("doc_id = component_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
