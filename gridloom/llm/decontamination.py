@@ -2,7 +2,7 @@
 
 A window of a document as long as an item, in words, matches it if the weighted similarity of their five-word shingles
 (sum of the smaller over sum of the larger counts) is 0.8 or more. Items of under five words have one shingle, all of
-their words.
+their words. A text shorter than the item is one window, all of its words; its shingles are as long as the item's.
 
 1. Anchors: every window that matches has most of the item's shingles, so windows are made only where enough of them
    stand together. This loses none.
@@ -114,14 +114,14 @@ class Items:
                     anchors[t, j].append(p)
             for (t, j), places in anchors.items():
                 if best := self._best(texts[t], j, np.array(places)):
-                    out[t].append((self.ids[j], *best, len(self.words[j])))
+                    out[t].append((self.ids[j], *best, min(len(self.words[j]), len(texts[t]))))
         return {t: sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[2])) for t, found in out.items()}
 
     def _best(self, words: list[bytes], j: int, places: np.ndarray) -> tuple[float, int] | None:
-        size, k, m = len(self.words[j]), self.k[j], len(self.words[j]) - self.k[j] + 1
-        if len(words) < size:
-            return None
-        need = int(np.ceil(2 * m * self.least / (1 + self.least) - 1e-9))  # of m shingles on both sides
+        k, goal = self.k[j], len(self.words[j]) - self.k[j] + 1
+        size = min(len(self.words[j]), len(words))
+        m = size - k + 1
+        need = int(np.ceil((m + goal) * self.least / (1 + self.least) - 1e-9))  # of m shingles here and goal there
         if len(places) < need:
             return None
         # Windows that start at s hold the shingles at s .. s + m - 1; enough of them must be anchors.
