@@ -330,7 +330,7 @@ def cube_weight(spark, sf_dir):
 
 
 def _holey(spark, sf_dir):
-    return cube(spark, sf_dir).where("NOT (iy BETWEEN 3 AND 4 AND ix BETWEEN 5 AND 6)").where("iz < 3")
+    return cube(spark, sf_dir).where("NOT (iy BETWEEN 3 AND 4 AND ix BETWEEN 5 AND 6)")
 
 
 @_query()
@@ -481,6 +481,7 @@ def auto_axis(spark, sf_dir):
 # Random fields --------------------------------------------------------------------------------------------------
 
 _LINE = Lattice((Axis("x", 0.0, 1.0, 101),))
+_HOURS = Lattice((Axis("x", 0.0, 1.0, 720),))
 _PLANE = Lattice((Axis("y", 0.0, 1.0, 24), Axis("x", 0.0, 1.0, 30)))
 
 
@@ -505,5 +506,5 @@ def hetero_taper(spark, sf_dir):
 
 @_query()
 def hetero_apply(spark, sf_dir):
-    model = hourly(spark, sf_dir).where("kind = 'click' AND ix <= 100").select("ix", "v")
-    return heterogeneity.apply_heterogeneity(model, heterogeneity.heterogeneity(spark, _LINE, _stats("e", 1), 5), ["ix"], ["v"])
+    model = hourly(spark, sf_dir).select("kind", "ix", "v")
+    return heterogeneity.apply_heterogeneity(model, heterogeneity.heterogeneity(spark, _HOURS, _stats("e", 1), 5), ["ix"], ["v"])
