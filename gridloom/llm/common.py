@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,27 +23,56 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share. In local mode, where driver and executors are one process, one of our own if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/gridloom-checkpoints"
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = f"{tempfile.gettempdir()}/gridloom-checkpoints"
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to a table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Results are lazy and read these tables, so they stay; a folder by application is what to delete afterwards.
+    Results are lazy and read these tables, so they stay until discard(), or clean() for all of an application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() has returned, when nothing reads it any more."""
+    _delete(df.sparkSession, df._table)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables of this application; its lazy results cannot be read afterwards."""
+    _delete(spark, _own_dir(spark))
+
+
+def numbered(docs: DataFrame, name: str, **columns: Column) -> DataFrame:
+    """A table of the columns, and `row`: numbers given once, so they are the same in all jobs however the scan of docs is dealt out."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in columns.items()]), name)
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else; null becomes empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower-cases A-Z and nothing else; null becomes empty. For texts of ASCII only, lower() does the same and is faster."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, skew_safe_left_join
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (any order, no nulls). Returns node, root: the smallest node that can be reached, for nodes that have edges.
 
     Alternates the large-star and small-star steps, which keep the components and end in stars in a number of rounds
-    about the logarithm of the longest path. Neighbours are summed up by an aggregate, never listed.
+    about the logarithm of the longest path; it goes on until a round changes nothing. Neighbours are summed up by an
+    aggregate, never listed.
     """
     star = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
+    before, state = None, _state(star)
+    while state != before:
+        size = 2 * state[0]
         both = star.union(star.select("u", "v")).toDF("x", "y")
-        low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v")
+        low = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("x", "m"))
+        # The centre of a large star is a hot key.
+        large = skew_safe_left_join(both.where("y > x"), low, ["x"], "c", size).select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = skew_safe_left_join(large, low, ["v"], "c", size)
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", "m")).where("u <> v").distinct()
-        star = materialize(small, "edges")
-        after = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
+        old, star = star, materialize(small, "edges")
+        discard(old)
+        before, state = state, _state(star)
     roots = star.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return star.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots)
+
+
+def _state(star: DataFrame) -> tuple:
+    return tuple(star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
