@@ -4,12 +4,16 @@ Fingerprints: A-Z go to lower case, words are split at ASCII white space, and sh
 included, joined by spaces (fewer words: all of them; none: fingerprint zero, which links like any other). A bit is
 set if it is set in over half of the shingles' XXH64 (seed 42).
 
-Links: fingerprints with at most RADIUS differing bits. Of 2 * RADIUS blocks of the bits, half at least are equal in
-such a pair, so a distinct fingerprint goes to a task once for each choice of RADIUS blocks, with the value there as
-key. (A choice of blocks, and not one block, keeps the groups of a key small as the input grows.) A task makes a
-binary trie of each group and takes pairs of nodes down together, adding up differing bits; it drops a pair whose sum
-is over the radius, and a pair whose leaves are all in one component. This is done with a radius of 0, 1, ... up to
-RADIUS, so that dense groups join up early and their pairs are dropped. Tasks return a forest, not all pairs.
+Links: fingerprints with at most RADIUS differing bits, found by a self-join of the binary trie over all distinct
+fingerprints. Pairs of nodes are taken down together from the pair (root, root), differing bits are added up, and a
+pair goes no further if its sum is over the radius.
+1. The top of the trie is a directory made from counts by prefix: nodes with more fingerprints than a task should hold
+   are split, one bit at a time and to any depth, so it is as deep as the data are dense.
+2. The pairs of its leaves that are left when node pairs are taken down to them are the tasks. A fingerprint goes to the
+   pairs of its leaf.
+3. A task takes its pair further down, in chunks of bounded size, to pairs of single fingerprints. It also drops a pair
+   whose fingerprints are all in one component. This is done with a radius of 0, 1, ... up to RADIUS, so that dense
+   groups join up early and their pairs are dropped. Tasks return a forest, not all pairs.
 
 Components: documents with the same fingerprint are one node; forests are joined by components(). A row gets the
 smallest doc_id of its component; rows with the same doc_id keep their own fingerprints. Null ids don't count for the
@@ -18,7 +22,8 @@ smallest id, and a component of null ids only has a null one. Null text is empty
 
 from __future__ import annotations
 
-from itertools import combinations
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -34,6 +39,10 @@ from .components import components
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
+#: Most fingerprints in a leaf of the directory (a task holds two leaves), pairs of nodes that are taken down at a time, bits counted at a time.
+LEAF = 4_000_000
+CHUNK = 1 << 16
+STEP = 12
 
 
 def fingerprint(text: str | None, k: int = SHINGLE) -> int:
@@ -83,131 +92,191 @@ class Forest:
                 root[:] = up
 
 
-def trie_links(prints: np.ndarray, groups: np.ndarray, radius: int = RADIUS, bits: int = 64) -> np.ndarray:
-    """For each fingerprint, the number of one it is connected with inside its group (its own if it is the first).
+class Trie:
+    """Pairs of nodes of the binary trie over sorted distinct fingerprints; a node is a range of them.
 
-    prints: uint64, sorted and distinct within each group; groups: the start of each group, and the end of the last.
-    Nodes of the tries are ranges of the sorted prints; a level of all tries is taken down at once.
+    visited and leaf_pairs count the pairs of nodes and of single fingerprints that were met.
     """
-    n = len(prints)
-    forest = Forest(n)
-    for r in range(1, radius + 1):
-        _descend(prints, groups, r, bits, forest)
-    return forest.root
-
-
-def _descend(prints, groups, radius, bits, forest) -> None:
-    lo, hi = groups[:-1].astype(np.int64), groups[1:].astype(np.int64)
-    big = hi - lo > 1
-    a0, a1, b0, b1 = lo[big], hi[big], lo[big], hi[big]
-    err = np.zeros(len(a0), np.int64)
-    for bit in range(bits - 1, -1, -1):
-        if not len(a0):
-            return
-        # Pairs of single leaves, and pairs within reach that are small, are settled at once.
-        small = ((a1 - a0) * (b1 - b0) <= 16) & (a0 != b0) | ((a0 == b0) & (a1 - a0 <= 4))
-        if small.any():
-            _settle(prints, a0[small], a1[small], b0[small], b1[small], radius, forest)
-            a0, a1, b0, b1, err = (x[~small] for x in (a0, a1, b0, b1, err))
-        if not len(a0):
-            return
-        # A pair goes no further if all of its leaves have one root.
-        same = _uniform(forest.root, a0, a1, b0, b1)
-        a0, a1, b0, b1, err = (x[~same] for x in (a0, a1, b0, b1, err))
-        am, bm = _split(prints, a0, a1, bit), _split(prints, b0, b1, bit)
-        own = a0 == b0
-        parts = (
-            (a0, am, b0, bm, err, np.ones_like(own)), (am, a1, bm, b1, err, np.ones_like(own)),
-            (a0, am, bm, b1, err + 1, np.ones_like(own)), (am, a1, b0, bm, err + 1, ~own),
-        )
-        a0, a1, b0, b1, err, ok = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ok &= (a0 < a1) & (b0 < b1) & (err <= radius) & ~((a0 == b0) & (a1 - a0 == 1))
-        a0, a1, b0, b1, err = (x[ok] for x in (a0, a1, b0, b1, err))
-
-
-def _split(prints, lo, hi, bit):
-    """The first of lo .. hi-1 that has the bit set; the bits above are equal there."""
-    lo, hi, mask = lo.copy(), hi.copy(), np.uint64(1 << bit)
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) // 2
-        high = np.zeros(len(lo), bool)
-        high[open_] = (prints[mid[open_]] & mask) != 0
-        hi = np.where(open_ & high, mid, hi)
-        lo = np.where(open_ & ~high, mid + 1, lo)
-    return lo
-
-
-def _uniform(root, a0, a1, b0, b1):
-    change = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
-    return (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (root[a0] == root[b0])
-
-
-def _settle(prints, a0, a1, b0, b1, radius, forest):
-    na, nb = a1 - a0, b1 - b0
-    size = na * nb
-    pair = np.repeat(np.arange(len(size)), size)
-    at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
-    i, j = a0[pair] + at // nb[pair], b0[pair] + at % nb[pair]
-    near = (i != j) & (np.bitwise_count(prints[i] ^ prints[j]) <= radius)
-    forest.link(i[near], j[near])
-
-
-def block_keys(radius: int = RADIUS) -> list[int]:
-    """Masks, one for each choice of `radius` of the 2 * radius blocks."""
-    n = 2 * radius
-    edges = [64 * i // n for i in range(n + 1)]
-    blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, radius)]
+
+    def __init__(self, prints: np.ndarray, bits: int = 64):
+        self.prints, self.bits, self.forest = prints, bits, Forest(len(prints))
+        self.visited = self.leaf_pairs = 0
+        self._note()
+
+    def _note(self) -> None:
+        root = self.forest.root
+        self.change = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+
+    def join(self, a: tuple[int, int], b: tuple[int, int], radius: int) -> None:
+        """Link what is within the radius between two nodes (or in one, if they are the same)."""
+        for r in range(1, radius + 1):
+            stack = [(self.bits - 1, np.array([[*a, *b, 0]], np.int64).T)]
+            while stack:
+                bit, pairs = stack.pop()
+                below = self._leaves(pairs, r)
+                if bit < 0 or not below.shape[1]:
+                    continue
+                below = self._down(below, bit, r)
+                stack += [(bit - 1, below[:, at : at + CHUNK]) for at in range(0, below.shape[1], CHUNK)]
+
+    def _leaves(self, pairs: np.ndarray, radius: int) -> np.ndarray:
+        """Settle the pairs of single fingerprints, whose path is all of their bits; returns the others that are not in one component."""
+        self.visited += pairs.shape[1]
+        a0, a1, b0, b1, _ = pairs
+        single = (a1 - a0 == 1) & (b1 - b0 == 1)
+        if single.any():
+            i, j = a0[single], b0[single]
+            self.leaf_pairs += len(i)
+            near = np.bitwise_count(self.prints[i] ^ self.prints[j]) <= radius
+            near &= self.forest.root[i] != self.forest.root[j]
+            if near.any():
+                self.forest.link(i[near], j[near])
+                self._note()
+            pairs = pairs[:, ~single]
+        a0, a1, b0, b1, _ = pairs
+        root, change = self.forest.root, self.change
+        one = (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (root[a0] == root[b0])
+        return pairs[:, ~one]
+
+    def _down(self, pairs: np.ndarray, bit: int, radius: int) -> np.ndarray:
+        a0, a1, b0, b1, err = pairs
+        am, bm, own = self._split(a0, a1, bit), self._split(b0, b1, bit), a0 == b0
+        down = np.concatenate([[a0, am, b0, bm, err], [am, a1, bm, b1, err], [a0, am, bm, b1, err + 1], [am, a1, b0, bm, err + 1]], axis=1)
+        ok = (down[0] < down[1]) & (down[2] < down[3]) & (down[4] <= radius)
+        ok &= (down[0] != down[2]) | (down[1] - down[0] > 1)
+        ok[3 * len(own) :] &= ~own
+        return down[:, ok]
+
+    def _split(self, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
+        """The first of lo .. hi-1 that has the bit set; the bits above are equal there."""
+        first = (self.prints[lo] >> np.uint64(bit) | np.uint64(1)) << np.uint64(bit)
+        return np.clip(np.searchsorted(self.prints, first), lo, hi)
+
+
+def _counts(prints: DataFrame, prefixes: list[int], depth: int, upto: int) -> dict[int, int]:
+    """Distinct fingerprints by their first `upto` bits, of those whose first `depth` bits are one of the prefixes."""
+    bits = lambda n: F.shiftrightunsigned("p", 64 - n) if n else F.lit(0).cast("bigint")
+    if depth:
+        wanted = prints.sparkSession.createDataFrame([(_signed(x),) for x in prefixes], "w bigint")
+        prints = prints.join(F.broadcast(wanted), bits(depth) == F.col("w"), "left_semi")
+    return {r["x"] % (1 << 64): r["count"] for r in prints.groupBy(bits(upto).alias("x")).count().collect()}
+
+
+def directory(prints: DataFrame, leaf: int) -> list[tuple[int, int]]:
+    """(depth, prefix) of the leaves of the top of the trie, in order: those with at most `leaf` fingerprints, all of them together whole."""
+    done, depth, heavy = [], 0, [0]
+    while heavy:
+        upto = min(depth + STEP, 64)
+        counts = _counts(prints, heavy, depth, upto)
+        sums = [Counter() for _ in range(depth, upto)] + [Counter(counts)]
+        for d in range(upto - 1, depth - 1, -1):
+            for x, n in sums[d + 1 - depth].items():
+                sums[d - depth][x >> 1] += n
+        for d in range(depth, upto):
+            done += [(d, x) for x in heavy if sums[d - depth][x] <= leaf]
+            heavy = [y for x in heavy if sums[d - depth][x] > leaf for y in (2 * x, 2 * x + 1)]
+        depth = upto
+        if depth == 64:
+            done += [(64, x) for x in heavy]
+            break
+    return sorted(done, key=lambda n: n[1] << (64 - n[0]))
+
+
+def leaf_pairs(leaves: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
+    """The pairs of leaves (by number, the first not after the second) that may hold fingerprints within the radius."""
+    starts = [x << (64 - d) for d, x in leaves]
+    find = lambda lo, hi, d, x: (bisect_left(starts, x << (64 - d), lo, hi), bisect_left(starts, (x + 1) << (64 - d), lo, hi))
+    found, open_ = [], [(0, len(leaves), 0, 0, 0, len(leaves), 0, 0, 0)]
+    while open_:
+        a0, a1, da, xa, b0, b1, db, xb, err = open_.pop()
+        if a1 - a0 == 1 and b1 - b0 == 1:
+            (da, xa), (db, xb) = leaves[a0], leaves[b0]
+            same = min(da, db)
+            if (xa >> (da - same) ^ xb >> (db - same)).bit_count() <= radius:
+                found.append((a0, b0))
+            continue
+        # A node that is a leaf already stays as it is, at the depth of the other's children.
+        halves = lambda lo, hi, d, x: [(*find(lo, hi, d + 1, y), d + 1, y) for y in (2 * x, 2 * x + 1)] if hi - lo > 1 else [(lo, hi, d, x)]
+        for i, a in enumerate(halves(a0, a1, da, xa)):
+            for j, b in enumerate(halves(b0, b1, db, xb)):
+                if (a0, a1) == (b0, b1) and j < i or a[0] == a[1] or b[0] == b[1]:
+                    continue
+                same = min(a[2], b[2])
+                if (more := (a[3] >> (a[2] - same) ^ b[3] >> (b[2] - same)).bit_count()) <= radius:
+                    open_.append((*a, *b, more))
+    return sorted(found)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def leaf_size(n: int) -> int:
+    """Fingerprints of a leaf of the directory. Below LEAF there are about as many leaves, and so copies of a fingerprint, at any size."""
+    return max(1, min(n // 24, LEAF))
+
+
+def links(prints: DataFrame, radius: int = RADIUS, leaf: int | None = None) -> DataFrame:
     """prints: distinct longs `p`. Edges a, b that connect all within the radius."""
-    masks = block_keys(radius)
-    keyed = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("p").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
-    rows = prints.select("p", keyed.alias("k")).select("p", "k.m", "k.key")
-    rows = rows.repartition("m", "key").sortWithinPartitions("m", "key", "p")
+    leaves = directory(prints, leaf or leaf_size(prints.count()))
+    pairs = np.array(leaf_pairs(leaves, radius), np.int64)
+    # For each leaf, its pairs; a pair of two leaves is in the list of both.
+    of = np.concatenate([np.stack([pairs[:, 0], np.arange(len(pairs))]), np.stack([pairs[:, 1], np.arange(len(pairs))])[:, pairs[:, 0] != pairs[:, 1]]], axis=1)
+    of = of[:, np.argsort(of[0], kind="stable")]
+    starts = np.array([x << (64 - d) for d, x in leaves], np.uint64)
+    held = prints.sparkSession.sparkContext.broadcast((starts, of[1], np.searchsorted(of[0], np.arange(len(leaves) + 1)), pairs))
+
+    def deal(batches):
+        starts, pair, first, _ = held.value
+        for batch in batches:
+            p = batch.column(0).to_numpy().view(np.uint64)
+            for at in range(0, len(p), 4096):
+                part = p[at : at + 4096]
+                own = np.searchsorted(starts, part, "right") - 1
+                n = first[own + 1] - first[own]
+                take = np.arange(n.sum()) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[take]), pa.array(np.repeat(part, n).view(np.int64))], names=["pair", "p"])
+
+    dealt = prints.select("p").mapInArrow(deal, "pair bigint, p bigint")
+    # The work of a pair is not in proportion to its bytes, so tasks are not put together by size.
+    tasks = max(1, min(len(pairs), max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(pairs) // 64)))
+    dealt = dealt.repartition(tasks, "pair").sortWithinPartitions("pair")
 
     def join(batches):
-        held: list = []
-        for batch in batches:
-            p, m, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            held.append((p.view(np.uint64), m, key))
-            # A batch is done at a time, but for its last group, which may go on.
-            if sum(len(x[0]) for x in held) >= 1 << 18:
-                done, held = _cut(held)
-                if done is not None:
-                    yield from _edges(*done, radius)
-        if held:
-            yield from _edges(*[np.concatenate(x) for x in zip(*held, strict=True)], radius)
-
-    return rows.mapInArrow(join, "a bigint, b bigint").distinct()
-
-
-def _cut(held):
-    p, m, key = (np.concatenate(x) for x in zip(*held, strict=True))
-    last = np.flatnonzero((m != m[-1]) | (key != key[-1]))
-    if not len(last):
-        return None, [(p, m, key)]
-    at = last[-1] + 1
-    return (p[:at], m[:at], key[:at]), [(p[at:], m[at:], key[at:])]
-
-
-def _edges(p, m, key, radius):
-    new = np.concatenate([[True], (m[1:] != m[:-1]) | (key[1:] != key[:-1])])
-    sizes = np.diff(np.append(np.flatnonzero(new), len(p)))
-    keep = np.repeat(sizes > 1, sizes)
-    p, sizes = p[keep], sizes[sizes > 1]
-    if not len(p):
-        return
-    groups = np.concatenate([[0], np.cumsum(sizes)])
-    # Spark has sorted signed longs; the tries need them unsigned.
-    order = np.lexsort((p, np.repeat(np.arange(len(sizes)), sizes)))
-    p = p[order]
-    root = trie_links(p, groups, radius)
+        starts, _, _, pairs = held.value
+        for pair, p in _whole(batches):
+            a, b = pairs[pair]
+            yield from _edges(np.sort(p.view(np.uint64)), starts, a, b, radius)
+
+    return dealt.mapInArrow(join, "a bigint, b bigint").distinct()
+
+
+def _whole(batches):
+    """(pair, its fingerprints) of rows that are sorted by pair."""
+    last, held = None, []
+    for batch in batches:
+        pair, p = (batch.column(i).to_numpy() for i in range(2))
+        cuts = np.flatnonzero(np.diff(pair)) + 1
+        for q, part in zip(pair[np.append(0, cuts)].tolist() if len(pair) else [], np.split(p, cuts), strict=False):
+            if q != last and held:
+                yield last, np.concatenate(held)
+                held = []
+            last = q
+            held.append(part)
+    if held:
+        yield last, np.concatenate(held)
+
+
+def _edges(p: np.ndarray, starts: np.ndarray, a: int, b: int, radius: int):
+    trie = Trie(p)
+    if a == b:
+        trie.join((0, len(p)), (0, len(p)), radius)
+    else:
+        cut = int(np.searchsorted(p, starts[b]))
+        if not 0 < cut < len(p):
+            return
+        trie.join((0, cut), (cut, len(p)), radius)
+    root = trie.forest.root
     linked = np.flatnonzero(root != np.arange(len(p)))
     if len(linked):
         yield pa.RecordBatch.from_arrays([pa.array(p[linked].view(np.int64)), pa.array(p[root[linked]].view(np.int64))], names=["a", "b"])
