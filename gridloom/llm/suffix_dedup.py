@@ -9,15 +9,17 @@ GRAM-byte pieces; equal windows have equal keys. Successive windows with one key
 1. Equal windows have their smallest piece at the same place, so a key with one such piece in the corpus holds no
    repeats. These pieces are counted by key, after a pre-aggregation in each task.
 2. Segments with shared keys go to the task of their key; equal segments of a task are sent once, for their earliest
-   owner, so a passage in a third of all documents stays small.
+   owner, so a passage in a third of all documents stays small. Segments of hot keys are split by longer pieces around
+   the smallest one, so a common piece in many contexts is dealt out over many tasks.
 3. A task sorts the suffixes of its segments as far as needed, makes the Burrows-Wheeler transform, and expands
    intervals breadth-first by backward extension. That gives common prefix lengths by increasing value, up to LENGTH - 1;
    where none was found, neighbours share LENGTH bytes. Of each class of equal windows, the earliest is not a repeat.
 4. Each document joins its segments with what was found, and the repeats are cut out.
 
-Null text is empty. A null doc_id comes before any other. Repeated rows are rows of their own, the first of them is the
-earliest. Texts under LENGTH bytes stay as they are. Rows are told apart by their place in the scan, so docs has to be a table
-or a frame that reads alike each time. Empty input gives an empty result.
+Null text is empty. A null doc_id comes before any other. Of rows with the same doc_id, the one whose text has the
+smaller hash comes first (texts of one doc_id are told apart by a 64-bit hash). Rows that are equal in both are rows of
+their own: the first has the result, the others are repeats of it. Texts under LENGTH bytes stay as they are. Nothing
+depends on how a scan is dealt out. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import HOT_SHARE, documents, materialize, small
 
 LENGTH = 100
 GRAM = 32
@@ -37,6 +40,7 @@ _BLOCK = 1 << 20
 #: Bytes of segments that a task sorts at a time, whole keys at once.
 SORT_BYTES = 2 << 20
 _NULL = -(1 << 63)
+_ROW = ["doc", "row"]
 
 
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -84,6 +88,31 @@ def key_places(data: bytes, length: int = LENGTH, gram: int = GRAM) -> np.ndarra
     return np.concatenate(found)
 
 
+def split_segment(data: bytes, key: int, start: int, windows: int, length: int = LENGTH, gram: int = GRAM, levels: int = 2) -> list[tuple[int, int, int]]:
+    """A segment in parts with narrower keys: (key, first window, windows).
+
+    A window reaches far to the left or far to the right of its smallest piece (the first one, of equals), by half of
+    what is free at least. The piece with the bytes there is the next, longer piece, and so on. Equal windows have equal
+    pieces at equal places, so they stay together; segments that only share the smallest piece part.
+    """
+    raw = np.frombuffer(data, np.uint8)[start : start + windows + length - 1]
+    places = np.flatnonzero(gram_hashes(raw, gram).view(np.int64) == key)
+    at = np.arange(windows)
+    lo = places[np.searchsorted(places, at)]
+    hi, free = lo + gram, length - gram
+    for _ in range(levels):
+        half = free // 2
+        left = lo - at >= half
+        lo, hi, free = np.where(left, lo - half, lo), np.where(left, hi, hi + half), free - half
+    new = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+    counts = np.diff(np.append(new, windows))
+    found = []
+    for i, n in zip(new.tolist(), counts.tolist(), strict=True):
+        piece = xxhash.xxh64_intdigest(raw[lo[i] : hi[i]].tobytes(), key & 0xFFFF)
+        found.append((piece - (1 << 64) if piece >> 63 else piece, start + i, n))
+    return found
+
+
 #: Symbols in a packed word.
 PACK = 7
 
@@ -195,15 +224,17 @@ def _settle(keys, docs, rows, starts, texts, length) -> Iterator[pa.RecordBatch]
     parts = list(own)
     ranks = {p: i for i, p in enumerate(sorted({o[:2] for o in own.values()}))}
     order = np.array([(ranks[o[:2]] << 40) + o[2] for o in own.values()], np.int64)
-    out_rows, out_starts, out_counts = [], [], []
+    out_docs, out_rows, out_starts, out_counts = [], [], [], []
     for t, found in zip(parts, first_windows(parts, order, length), strict=True):
         if len(found):
             cut = np.flatnonzero(np.concatenate([[True], np.diff(found) != 1]))
+            out_docs.append(own[t][0])
             out_rows.append(own[t][1])
             out_starts.append((found[cut] + own[t][2]).astype(np.int64))
             out_counts.append(np.diff(np.append(cut, len(found))).astype(np.int64))
     if out_rows:
-        yield pa.RecordBatch.from_arrays([pa.array(out_rows, pa.int64()), pa.array(out_starts, pa.list_(pa.int64())), pa.array(out_counts, pa.list_(pa.int64()))], names=["row", "starts", "counts"])
+        runs = [pa.array(c, pa.list_(pa.int64())) for c in (out_starts, out_counts)]
+        yield pa.RecordBatch.from_arrays([pa.array(out_docs, pa.int64()), pa.array(out_rows, pa.int64()), *runs], names=[*_ROW, "starts", "counts"])
 
 
 def cut_out(data: bytes, segs: list[int], starts: list[int], counts: list[int], length: int = LENGTH) -> tuple[int, int, bytes]:
@@ -223,51 +254,54 @@ def cut_out(data: bytes, segs: list[int], starts: list[int], counts: list[int],
     return int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def _number(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot_rows: int = 1000) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes).
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
-    rows = _number(docs, id_col, text_col)
+    Keys with over hot_rows pieces, and over a share of 1 / HOT_SHARE of all that are shared, are split by longer pieces.
+    """
+    rows = _identified(docs, id_col, text_col)
 
     def keys(batches):
         for batch in batches:
-            found = [key_places((t or "").encode(), length) for t in batch.column(2).to_pylist()]
+            found = [key_places(t.encode(), length) for t in batch.column(0).to_pylist()]
             k, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    counts = rows.mapInArrow(keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    shared = materialize(counts.where("n > 1").select("key"), "suffix-shared")
+    counts = rows.select("text").mapInArrow(keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.where("n > 1"), "suffix-shared")
+    bar = max(hot_rows, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = docs.sparkSession.sparkContext.broadcast({r["key"] for r in counts.where(F.col("n") > bar).select("key").collect()})  # at most HOT_SHARE keys
+    shared = counts.select("key")
 
     def places(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            found = [segments((t or "").encode(), length)[0] for t in batch.column(2).to_pylist()]
+            found = [segments(t.encode(), length)[0] for t in batch.column(2).to_pylist()]
             size = np.array([len(f) for f in found], np.int64)
             k = np.concatenate(found) if found else np.zeros(0, np.uint64)
             at = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.repeat(ids, size)), pa.array(at.astype(np.int32))], names=["key", "row", "seg"])
+            of = [pa.array(np.repeat(batch.column(i).to_numpy(), size)) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *of, pa.array(at.astype(np.int32))], names=["key", *_ROW, "seg"])
 
-    marks = rows.mapInArrow(places, "key bigint, row bigint, seg int").join(shared, "key", "left_semi")
-    marks = materialize(marks.groupBy("row").agg(F.sort_array(F.collect_list("seg")).alias("segs")), "suffix-marks")
+    # Equal rows are one row here.
+    marks = rows.select(*_ROW, "text").mapInArrow(places, "key bigint, doc bigint, row bigint, seg int").join(shared, "key", "left_semi")
+    marks = materialize(marks.groupBy(*_ROW).agg(F.sort_array(F.collect_set("seg")).alias("segs")), "suffix-marks")
 
     def cut(batches):
         for batch in batches:
             once: dict[tuple, tuple] = {}
-            for row, doc, text, segs in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                data, segs = (text or "").encode(), segs.values.to_numpy()
+            for doc, row, text, segs in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                data, segs = text.encode(), segs.values.to_numpy()
                 k, first, n = (x[segs] for x in segments(data, length))
-                doc = _NULL if doc is None else doc
-                for key, s, w in zip(k.view(np.int64).tolist(), first.tolist(), n.tolist(), strict=True):
-                    at = (key, data[s : s + w + length - 1])
-                    if at not in once or (doc, row, s) < once[at]:
-                        once[at] = (doc, row, s)
+                for whole in zip(k.view(np.int64).tolist(), first.tolist(), n.tolist(), strict=True):
+                    for key, s, w in split_segment(data, *whole, length) if whole[0] in hot.value else [whole]:
+                        at = (key, data[s : s + w + length - 1])
+                        if at not in once or (doc, row, s) < once[at]:
+                            once[at] = (doc, row, s)
             if once:
                 cols = [[k for k, _ in once], *zip(*once.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.array([t for _, t in once], pa.binary())], names=["key", "doc", "row", "start", "bytes"])
 
-    sent = rows.join(marks, "row").select("row", "doc_id", "text", "segs").mapInArrow(cut, "key bigint, doc bigint, row bigint, start bigint, bytes binary")
+    sent = rows.join(marks, _ROW).select(*_ROW, "text", "segs").mapInArrow(cut, "key bigint, doc bigint, row bigint, start bigint, bytes binary")
     sent = sent.repartition("key").sortWithinPartitions("key")
 
     def expand(batches):
@@ -284,20 +318,41 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held[0]:
             yield from _settle(*held, length)
 
-    kept = sent.mapInArrow(expand, "row bigint, starts array<bigint>, counts array<bigint>")
-    kept = materialize(kept.groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts")), "suffix-kept")
+    kept = sent.mapInArrow(expand, "doc bigint, row bigint, starts array<bigint>, counts array<bigint>")
+    kept = materialize(kept.groupBy(*_ROW).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts")), "suffix-kept")
 
     def finish(batches):
         for batch in batches:
             out = []
-            for doc, text, *runs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                data = (text or "").encode()
-                out.append((doc, len(data), *cut_out(data, *[r or [] for r in runs], length)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    joined = rows.join(marks.join(kept, "row", "left"), "row", "left").select("doc_id", "text", "segs", "starts", "counts")
-    return joined.mapInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+            for doc, n, text, *runs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                data = text.encode()
+                out.append((doc, n, len(data), *cut_out(data, *[r or [] for r in runs], length)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["doc_id", "copies", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    def finished(rows: DataFrame) -> DataFrame:
+        joined = rows.join(marks.join(kept, _ROW, "left"), _ROW, "left").select("doc_id", "copies", "text", "segs", "starts", "counts")
+        return joined.mapInArrow(finish, "doc_id bigint, copies bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+    result = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    copies = materialize(rows.groupBy(*_ROW).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "suffix-copies")
+    if copies.isEmpty():
+        return finished(rows.withColumn("copies", F.lit(1).cast("bigint"))).select(*result)
+    several = small(copies)
+    single = finished(rows.join(several, _ROW, "left_anti").withColumn("copies", F.lit(1).cast("bigint")))
+    # Of equal rows, all but the first are repeats from end to end.
+    first = finished(rows.select("doc_id", *_ROW, "text").join(several, _ROW).dropDuplicates([*_ROW]))
+    first = first.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    again = (F.col("at") > 1) & (F.col("n_bytes") >= length)
+    first = first.withColumns({"n_removed": F.when(again, F.col("n_bytes")).otherwise(F.col("n_removed")), "n_spans": F.when(again, F.lit(1)).otherwise(F.col("n_spans")), "kept": F.when(again, F.lit(b"")).otherwise(F.col("kept"))})
+    return single.select(*result).union(first.select(*result))
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and what tells rows apart: doc (null ids come first) and row, a hash of the text."""
+    doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    return rows.withColumns({"doc": F.coalesce("doc_id", F.lit(_NULL)), "row": F.xxhash64("text", F.col("doc_id").isNull())})
 
 
 def query(spark, sf_dir):
