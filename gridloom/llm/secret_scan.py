@@ -2,8 +2,9 @@
 
 A token is a run of [A-Za-z0-9+/_.=-] or another single character that isn't white space. Tags are outside, begin and
 inside. Features are the token's shape, words and signs beside it, and what the file is like. The field is trained
-here: on windows of tokens around base matches, tagged by them, and on one window of each document without; of these,
-the MAX_WINDOWS with the smallest hash (a bounded sample). Tags are decoded by Viterbi over whole texts.
+here: on windows of tokens around base matches, tagged by them, and on one window of each document without. The sample is
+bounded: about SAMPLE_DOCS rows, those with the smallest hash of id and text, and of their windows the MAX_WINDOWS with
+the smallest hash, half of them with base matches. Tags are decoded by Viterbi over whole texts.
 
 Tokens that aren't "open" (no digit, or under 8 characters) share a few feature vectors. Where the trained weights
 prove that such a token is outside on every best path (its margin is over anything that transitions can give back),
@@ -25,9 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import documents
+from .common import discard, documents, materialize
 
 KINDS = ("assign", "access", "hex", "field")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -41,6 +41,7 @@ O, B, I = 0, 1, 2  # noqa: E741
 
 WINDOW = 12
 MAX_WINDOWS = 4000
+SAMPLE_DOCS = 65_536
 SHAPES = ("plain", "open", "hex", "upper_digits", "mixed_case", "base64_signs", "dotted", "dashed", "digits", "len12", "len16", "len20", "len32", "len40", "varied", "even", "camel_word")
 NEAR = ("word_before", "sign_before", "quote_before", "quote_after", "at_near", "slash_near")
 FILE = ("file_word", "file_short", "bias")
@@ -222,33 +223,37 @@ def train(rows: list[tuple[list[list[int]], list[int]]], steps: int = 150, rate:
     return Field(emit, move)
 
 
-def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Field:
+def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS, sample_docs: int = SAMPLE_DOCS) -> Field:
     """docs: doc_id, text. Features and tags of at most max_windows windows come to the driver, no text."""
+    total = docs.count()
+    seed = F.xxhash64("doc_id", "text")
+    picked = docs.select(seed.alias("seed"), "text")
+    if total > sample_docs:
+        picked = picked.where(F.shiftrightunsigned("seed", 1) < int((1 << 63) * (sample_docs / total)))
 
     def sample(batches):
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            for seed, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 spans = base_spans(text)
-                seed = xxhash.xxh64_intdigest(text.encode()) >> 1
                 for place, features, tags in window_rows(text, spans):
-                    out.append((bool(spans), xxhash.xxh64_intdigest(f"{place}", seed) >> 1, features, tags))
+                    out.append((bool(spans), xxhash.xxh64_intdigest(f"{place}", seed % (1 << 64)) >> 1, features, tags))
             if out:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.list_(pa.int32()))), pa.array(cols[3], pa.list_(pa.int32()))], names=["found", "at", "features", "tags"])
 
-    rows = docs.mapInArrow(sample, "found boolean, at bigint, features array<array<int>>, tags array<int>")
-    # Tasks leave their own first ones only before these meet, so what meets is bounded for each task.
-    place = F.row_number().over(Window.partitionBy("found").orderBy("at", "tags"))
-    picked = rows.withColumn("place", place).where(F.col("place") <= max_windows // 2)
-    return train(sorted((list(map(list, r["features"])), list(r["tags"])) for r in picked.collect()))
+    rows = materialize(picked.mapInArrow(sample, "found boolean, at bigint, features array<array<int>>, tags array<int>"), "secret-windows")
+    # Each task keeps its first ones, then these meet.
+    chosen = [rows.where(F.col("found") == side).orderBy("at", "tags", "features").limit(max_windows // 2).collect() for side in (False, True)]
+    discard(rows)
+    return train(sorted((list(map(list, r["features"])), list(r["tags"])) for part in chosen for r in part))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_windows: int = MAX_WINDOWS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    field = fit(own, max_windows)
+    field = fit(own, max_windows, sample_docs)
 
     def scan(batches):
         for batch in batches:
