@@ -5,12 +5,11 @@
    signs or spaces. Passages that look so are turned into lattices, which Viterbi decodes under the model.
 3. A logistic regression over words and their beginnings, of the text as written and as restored. These are those that tell most
    about the label in the labelled rows that may be learnt from; it is fitted on at most MAX_TRAIN of them, the ones
-   with the smallest hash, half of each label if there are enough. MAX_TRAIN and MAX_FEATURES are the bounds of what
-   reaches the driver.
+   with the smallest hash, half of each label if there are enough. MAX_TRAIN bounds what reaches the driver.
 
 Rows whose crc32(doc_id as text) modulo 3 is 1 are held out. Null and empty texts have no words and get the score of
 the intercept. Without labelled rows the score is 0 for all. A null id isn't held out and can't be learnt from; repeated rows are
-scored one by one. A null label isn't used. Empty input gives an empty result.
+scored one by one, and of several texts with one id the one with the smallest hash is learnt from. A null label isn't used. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import discard, documents, materialize
 from .words import words_of
 
 MAX_TRAIN = 20_000
-MAX_FEATURES = 1_000
 THRESHOLD = 0.7
 #: Standard errors by which a word's log odds differ from 0.
 MIN_TELLS = 3.0
@@ -45,15 +43,28 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SIGN = re.escape("".join(LOOKALIKES))
 _SET_APART = r"[ .\-_*~]"
-#: A word with look-alikes or stars among its letters; letters set apart; a letter three times or more.
-DISGUISED = re.compile(
-    rf"(?<![a-z{_SIGN}])(?:[a-z{_SIGN}]{_SET_APART}+){{3,}}[a-z{_SIGN}](?![a-z{_SIGN}])"
-    rf"|(?=[{_SIGN}*]*[a-z])(?=[a-z*]*[{_SIGN}]|[a-z]+\*+[a-z])[a-z{_SIGN}*]{{3,40}}"
-    r"|[a-z]*([a-z])\1\1[a-z]*"
-)
+_APART = rf"(?:[a-z{_SIGN}]{_SET_APART}++){{3,}}[a-z{_SIGN}]"
+APART = re.compile(_APART)
+#: Letters set apart, or a run of letters, look-alikes and stars. Runs are taken whole, however long, and never tried twice.
+_RUN = re.compile(rf"(?P<apart>(?<![a-z{_SIGN}]){_APART}(?![a-z{_SIGN}]))|[a-z{_SIGN}][a-z{_SIGN}*]*+|\*++")
+_ALIKE, _MASKED, _TRIPLE, _LETTER = re.compile(rf"[{_SIGN}]"), re.compile(r"[a-z]\*++[a-z]"), re.compile(r"([a-z])\1\1"), re.compile("[a-z]")
 COST = {"same": 0.0, "alike": 0.5, "star": 4.0, "drop": 0.2, "repeat": 0.3}
 
 
+def is_disguised(run: str) -> bool:
+    """A run with look-alikes or stars among its letters, or with a letter three times or more."""
+    if len(run) < 3 or not _LETTER.search(run):
+        return False
+    return bool(_ALIKE.search(run) or _MASKED.search(run) or _TRIPLE.search(run))
+
+
+def passages(text: str):
+    """(start, end) of the disguised passages of a text in lower case."""
+    for m in _RUN.finditer(text):
+        if m["apart"] or is_disguised(m[0]):
+            yield m.span()
+
+
 def trigram_counts(texts: list[str]) -> np.ndarray:
     data = "\n\n".join(t for t in texts if t).encode()
     s = _SYMBOL[np.frombuffer(b"\n\n" + data + b"\n", np.uint8)]
@@ -69,12 +80,15 @@ class Decoder:
         p1 = (one + 1) / (one.sum() + SIZE)
         p2 = (two + 10 * p1) / (two.sum(1, keepdims=True) + 10)
         self.log_p = np.log((c + 5 * p2) / (c.sum(2, keepdims=True) + 5)).tolist()
-        self.decode = functools.lru_cache(maxsize=50_000)(self._decode)
+        self._cached = functools.lru_cache(maxsize=50_000)(self._decode)
+
+    def decode(self, passage: str) -> str:
+        return self._cached(passage) if len(passage) <= 64 else self._decode(passage)
 
     @staticmethod
     def lattice(passage: str) -> list[list[tuple[str, float]]]:
         """For each run of a character: (what it may stand for, cost). Nothing stands for a run left out."""
-        apart = bool(re.fullmatch(rf"(?:.{_SET_APART}+)+.", passage))
+        apart = bool(APART.fullmatch(passage))
         steps = []
         for m in re.finditer(r"(.)\1*", passage, re.DOTALL):
             c, n = m[1], len(m[0])
@@ -91,23 +105,34 @@ class Decoder:
         return steps
 
     def _decode(self, passage: str) -> str:
-        states = {(0, 0): (0.0, "")}
+        states, back = {(0, 0): 0.0}, []
         for ways in self.lattice(passage):
             to: dict = {}
-            for (a, b), (cost, text) in states.items():
+            came: dict = {}
+            for (a, b), cost in states.items():
                 for letters, more in ways:
                     x, y, total = a, b, cost + more
                     for c in letters:
                         s = ord(c) - 96
                         total -= self.log_p[x][y][s]
                         x, y = y, s
-                    if (x, y) not in to or total < to[x, y][0]:
-                        to[x, y] = (total, text + letters)
+                    if (x, y) not in to or total < to[x, y]:
+                        to[x, y], came[x, y] = total, ((a, b), letters)
             states = to
-        return min((cost - self.log_p[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
+            back.append(came)
+        _, at = min((cost - self.log_p[a][b][0], (a, b)) for (a, b), cost in states.items())
+        found = []
+        for came in reversed(back):
+            at, letters = came[at]
+            found.append(letters)
+        return "".join(reversed(found))
 
     def restore(self, text: str) -> str:
-        return DISGUISED.sub(lambda m: self.decode(m[0]), text.lower())
+        text, out, done = text.lower(), [], 0
+        for a, b in passages(text):
+            out += [text[done:a], self.decode(text[a:b])]
+            done = b
+        return "".join([*out, text[done:]])
 
 
 def features(text: str | None, decoder: Decoder) -> set[bytes]:
@@ -115,8 +140,9 @@ def features(text: str | None, decoder: Decoder) -> set[bytes]:
     if not text:
         return set()
     found = set(words_of(text))
-    for m in DISGUISED.finditer(text.lower()):
-        found.update(words_of(decoder.decode(m[0])))
+    low = text.lower()
+    for a, b in passages(low):
+        found.update(words_of(decoder.decode(low[a:b])))
     return found | {b"." + w[:n] for n in (4, 5, 6) for w in found if len(w) > n}
 
 
@@ -142,7 +168,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[dict[bytes, float], float] | None:
+def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_TRAIN) -> tuple[dict[bytes, float], float] | None:
     """Weights of words, and the intercept. docs: doc_id, text; labels: doc_id, label. decoder_of() gives the decoder on an executor."""
     usable = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -161,14 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_T
             found = [sorted(features(t, decoder)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "label", "words"])
 
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").mapInArrow(words, "doc_id bigint, label int, words array<binary>").dropDuplicates(["doc_id"]).cache()
+    # Of rows with one id, the text with the smallest hash counts.
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64(text).alias("hash"), text.alias("text"))).alias("t"))
+    rows = materialize(rows.select("doc_id", "t.text", "label").mapInArrow(words, "doc_id bigint, label int, words array<binary>"), "toxicity-rows")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     p1, p0 = max(n.get(1, 0), 1), max(n.get(0, 0), 1)
     seen = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
     a, b = (F.col("pos") + 0.5) / p1, (F.col("neg") + 0.5) / p0
     tells = F.abs(F.log(a / b)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    top = seen.where("pos + neg >= 3").select("word", tells.alias("tells")).where(F.col("tells") >= MIN_TELLS).orderBy(F.desc("tells"), "word").limit(max_features)
-    slot = {bytes(r["word"]): i for i, r in enumerate(top.collect())}
+    # All words of the sample that tell something about the label; their number is bounded by the sample.
+    slot = {bytes(w): i for i, w in enumerate(sorted(r["word"] for r in seen.where(tells >= MIN_TELLS).select("word").collect()))}
 
     def encode(batches):
         for batch in batches:
@@ -177,38 +206,43 @@ def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_T
 
     # Slots of words come back, packed; the words themselves stay where they are.
     data = rows.mapInArrow(encode, "doc_id bigint, label int, slots binary").toArrow().sort_by("doc_id")
-    rows.unpersist()
-    x = np.zeros((len(data), len(slot) + 1), np.float32)
-    for i, slots in enumerate(data.column("slots")):
-        x[i, np.frombuffer(slots.as_py(), np.int32)] = 1
-    x[:, -1] = 1
-    y = data.column("label").to_numpy().astype(np.float32)
-    weights = logistic(x, y)
+    discard(rows)
+    slots = [np.frombuffer(x.as_py(), np.int32) for x in data.column("slots")]
+    weights = logistic(slots, data.column("label").to_numpy().astype(float), len(slot))
     return {w: float(weights[i]) for w, i in slot.items()}, float(weights[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 500) -> np.ndarray:
-    """Ridge logistic regression by accelerated gradient steps; both labels weigh the same, the last column is the intercept and isn't shrunk."""
+def logistic(rows: list[np.ndarray], y: np.ndarray, n: int, ridge: float = 0.1, steps: int = 500) -> np.ndarray:
+    """Ridge logistic regression by accelerated gradient steps; both labels weigh the same.
+
+    rows: the numbers of the features (of n) that each row has. The intercept comes last and isn't shrunk.
+    """
+    at = np.concatenate([np.append(r, n) for r in rows])
+    size = np.array([len(r) + 1 for r in rows])
+    first = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(rows)), size)
+    forth = lambda w: np.add.reduceat(w[at], first)
+    back = lambda v: np.bincount(at, v[of], n + 1)
     share = min(max(float(y.mean()), 1e-9), 1 - 1e-9)
-    weigh = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    w = z = np.zeros(x.shape[1], np.float32)
-    shrink = np.full(x.shape[1], ridge, np.float32)
+    weigh = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    w = z = np.zeros(n + 1)
+    shrink = np.full(n + 1, ridge)
     shrink[-1] = 0
-    v = np.ones(len(x), np.float32)
+    v = np.ones(len(rows))
     for _ in range(20):  # the largest eigenvalue bounds the step
-        v = x @ (x.T @ v)
+        v = forth(back(v))
         v /= np.linalg.norm(v) or 1
-    step = np.float32(1 / (0.25 * float(weigh.max()) * float(v @ (x @ (x.T @ v))) + ridge))
+    step = 1 / (0.25 * float(weigh.max()) * float(v @ forth(back(v))) + ridge)
     t = 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(x @ z)))
-        new = z - step * (x.T @ (weigh * (p - y)) + shrink * z)
+        p = 1 / (1 + np.exp(-forth(z)))
+        new = z - step * (back(weigh * (p - y)) + shrink * z)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = new + np.float32((t - 1) / t2) * (new - w), new, t2
+        z, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w
 
 
-def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES):
+def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN):
     """A function from a column of texts to scores, learnt from docs and labels."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(language_model(docs, text_col))
@@ -221,7 +255,7 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             made.append(Decoder(counts.value))
         return made[0]
 
-    model = train(own, marks, decoder_of, max_train, max_features)
+    model = train(own, marks, decoder_of, max_train)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
