@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import materialize, numbered
 from gridloom.llm.decontamination import without_leaks
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.near_dedup import near_dedup
@@ -20,10 +21,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def only(docs: DataFrame, decide) -> DataFrame:
     """The rows of docs that decide() returns. It gets the columns id and text, and ids that are one for each row and in the order of doc_id."""
-    # A scan of the same files numbers its rows alike each time.
-    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row"))
-    kept = decide(rows.select(F.struct("doc_id", "__row").alias("id"), "text"))
-    return rows.join(kept.select("doc_id.__row"), "__row", "left_semi").select(*COLUMNS)
+    rows = numbered(docs, "pipeline-rows", **{c: F.col(c) for c in COLUMNS})
+    kept = decide(rows.select(F.struct("doc_id", "row").alias("id"), "text"))
+    return rows.join(kept.select("doc_id.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridloom.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
