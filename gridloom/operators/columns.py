@@ -36,31 +36,49 @@ def is_water(v: Column, water: float | None, tolerance: float | None = None) ->
     return F.coalesce(F.abs(v - F.lit(float(water))) <= within, F.lit(False))
 
 
+def dense(cube: DataFrame, fields: list[str]) -> DataFrame:
+    """cube with a row for each level of each of its columns: a node without a row becomes one without values."""
+    if "iz" not in cube.columns:
+        return cube
+    # The levels are those of the axis, so they are as few as its nodes.
+    levels = [F.struct(F.lit(r["iz"]).alias("iz"), F.lit(r["z"]).alias("z")) for r in cube.select("iz", "z").distinct().orderBy("iz").collect()]
+    if not levels:
+        return cube
+    every = cube.select(*COLUMN).distinct().withColumn("level", F.explode(F.array(*levels))).select(*COLUMN, "level.*")
+    return every.join(cube.drop("z"), [*COLUMN, "iz"], "left")
+
+
 def infer_surface(cube: DataFrame, fields: list[str], water: dict[str, float | None] | None = None, tolerance: dict[str, float] | None = None) -> DataFrame:
-    """iy, ix, land_surface, water_surface, model_class, conflict.
+    """iy, ix, land_surface, water_surface, model_class, land_conflict, conflict.
 
-    Land: the highest z with a value, over all fields. Water, by fields with a signature: going down from the first
-    node at or below 0 while the signature holds, the first node with a value that is none.
+    Land: the highest z with a value, over all fields; land_conflict: fields have different ones. Water, by fields with a
+    signature: the first node at or below 0 has it; going down, the first node that hasn't it and has a value. conflict:
+    fields have different ones, or the signature ends in a node without a value, or not at all. A node without a row
+    counts as one without values, if the cube has its node index iz.
     """
     water, tolerance = water or {}, tolerance or {}
-    land = F.greatest(*[F.max(F.when(F.col(f).isNotNull(), F.col("z"))) for f in fields], F.lit(None).cast("double")) if len(fields) == 1 else F.greatest(*[F.max(F.when(F.col(f).isNotNull(), F.col("z"))) for f in fields])
-    below = cube
+    most = lambda cols: F.greatest(*cols) if len(cols) > 1 else cols[0]
+    least = lambda cols: F.least(*cols) if len(cols) > 1 else cols[0]
+    none = F.lit(None).cast("double")
+    below = dense(cube, fields) if water else cube
     down = Window.partitionBy(*COLUMN).orderBy(F.desc("z"))
-    aggs = [land.alias("land_surface")]
+    aggs = [F.max(F.when(F.col(f).isNotNull(), F.col("z"))).alias(f"__land_{f}") for f in fields]
     for f in water:
         wet = is_water(F.col(f), water[f], tolerance.get(f))
         # The run of water starts at the first node at or below 0 and is over for good where the signature ends.
         broken = F.sum(F.when((F.col("z") <= 0) & ~wet, 1).otherwise(0)).over(down.rowsBetween(Window.unboundedPreceding, 0))
         below = below.withColumn(f"__broken_{f}", broken)
-        begun = F.max(F.when((F.col("z") <= 0) & (F.col(f"__broken_{f}") == 0), 1)) == 1
-        end = F.max(F.when((F.col("z") <= 0) & (F.col(f"__broken_{f}") == 1) & F.col(f).isNotNull() & ~wet, F.col("z")))
-        aggs.append(F.when(begun, end).alias(f"__water_{f}"))
+        begun = F.coalesce(F.max(F.when((F.col("z") <= 0) & (F.col(f"__broken_{f}") == 0), 1)) == 1, F.lit(False))
+        end = F.max_by(F.struct("z", F.col(f).isNotNull().alias("has")), F.when((F.col("z") <= 0) & (F.col(f"__broken_{f}") == 1) & ~wet, F.col("z")))
+        aggs += [F.when(begun & end["has"], end["z"]).alias(f"__water_{f}"), (begun & ~F.coalesce(end["has"], F.lit(False))).alias(f"__open_{f}")]
     out = below.groupBy(*COLUMN).agg(*aggs)
-    marks = [F.col(f"__water_{f}") for f in water]
-    deepest = (F.least(*marks) if len(marks) > 1 else marks[0]) if marks else F.lit(None).cast("double")
-    highest = (F.greatest(*marks) if len(marks) > 1 else marks[0]) if marks else F.lit(None).cast("double")
-    model = F.when(highest.isNotNull(), WET).when(F.col("land_surface").isNotNull(), LAND)
-    return out.select(*COLUMN, "land_surface", highest.alias("water_surface"), model.alias("model_class"), F.coalesce(deepest < highest, F.lit(False)).alias("conflict"))
+    lands, marks = [F.col(f"__land_{f}") for f in fields], [F.col(f"__water_{f}") for f in water]
+    land, deepest, highest = most(lands), least(marks) if marks else none, most(marks) if marks else none
+    conflict = F.coalesce(deepest < highest, F.lit(False))
+    for f in water:
+        conflict = conflict | F.col(f"__open_{f}")
+    model = F.when(highest.isNotNull(), WET).when(land.isNotNull(), LAND)
+    return out.select(*COLUMN, land.alias("land_surface"), highest.alias("water_surface"), model.alias("model_class"), F.coalesce(least(lands) < land, F.lit(False)).alias("land_conflict"), conflict.alias("conflict"))
 
 
 def resolve_class(authority: Column | None, model: Column, prior: Column, prefer_model: bool = False) -> Column:
@@ -123,7 +141,7 @@ def transform_columns(cube: DataFrame, columns: DataFrame, fields: dict[str, Fil
     nodes = nodes.withColumn("z", target.coordinate(F.col("iz"))).withColumn("from", source_depth(operation, method))
     out = nodes
     for f, fill in fields.items():
-        seg = pieces(cube, COLUMN, "z", f, bridge).select(*COLUMN, "x0", "v0", "x1", "v1")
+        seg = pieces(cube, COLUMN, "z", f, bridge, "iz" if "iz" in cube.columns else None).select(*COLUMN, "x0", "v0", "x1", "v1")
         near = 32 * EPS * F.greatest(F.lit(1.0), F.abs("from"))
         hit = (F.col("from") >= F.col("x0") - near) & (F.col("from") <= F.col("x1") + near)
         value = F.when(F.col("x1") > F.col("x0"), F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("from") - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(F.col("v0"))

@@ -28,7 +28,7 @@ def vs30_evidence(vs30: Column) -> Column:
 
 def value_at(cube: DataFrame, field: str, depths: DataFrame, at: str, name: str) -> DataFrame:
     """depths and the linear value of a field at column `at` of it, null outside its samples."""
-    seg = pieces(cube, COLUMN, "z", field).select(*[F.col(c).alias(f"__{c}") for c in COLUMN], "x0", "v0", "x1", "v1")
+    seg = pieces(cube, COLUMN, "z", field, index="iz" if "iz" in cube.columns else None).select(*[F.col(c).alias(f"__{c}") for c in COLUMN], "x0", "v0", "x1", "v1")
     on = [F.col(c) == F.col(f"__{c}") for c in COLUMN]
     near = 32 * EPS * F.greatest(F.lit(1.0), F.abs(at))
     on.append((F.col(at) >= F.col("x0") - near) & (F.col(at) <= F.col("x1") + near))

@@ -23,6 +23,8 @@ MODELS = {"v": "von Karman", "g": "Gaussian", "e": "exponential", "w": "white"}
 
 @dataclass(frozen=True)
 class Statistics:
+    """lengths: one for all axes, or those along x, y and z (as many as the lattice has), in this order."""
+
     sigma: float
     lengths: tuple[float, ...] = ()
     hurst: float = 0.15
@@ -55,6 +57,13 @@ def amplitude(q2: np.ndarray, model: str, hurst: float, dims: int) -> np.ndarray
     return np.ones_like(q2)
 
 
+def by_axis(lengths: tuple[float, ...], dims: int) -> tuple[float, ...]:
+    """Lengths given from x on, in the order of a lattice's axes, the slowest first."""
+    if len(lengths) not in (0, 1, dims):
+        raise ValueError(f"one or {dims} correlation lengths are needed")
+    return lengths[::-1] if len(lengths) == dims else (lengths or (0.0,)) * dims
+
+
 def padding(lattice: Lattice, longest: tuple[float, ...], factor: float = 1.0) -> list[int]:
     return [math.ceil(factor * a / abs(axis.inc)) if a else 0 for a, axis in zip(longest, lattice.axes, strict=True)]
 
@@ -63,8 +72,7 @@ def realise(shape: list[int], incs: list[float], pads: list[int], stats: Statist
     """A field on the lattice (slowest axis first), in float32 as noise goes in and comes out of the transform."""
     full = [n + 2 * p for n, p in zip(shape, pads, strict=True)]
     white = noise.gaussians(seed, math.prod(full)).astype(np.float32).reshape(full)
-    lengths = stats.lengths or (0.0,)
-    lengths = lengths * len(shape) if len(lengths) == 1 else lengths
+    lengths = by_axis(stats.lengths, len(shape))
     q2 = np.zeros(full)
     for d, (n, inc, a) in enumerate(zip(full, incs, lengths, strict=True)):
         k = 2 * np.pi * np.fft.fftfreq(n, inc)
@@ -81,7 +89,7 @@ def realise(shape: list[int], incs: list[float], pads: list[int], stats: Statist
 def heterogeneity(spark: SparkSession, lattice: Lattice, stats: dict[str, Statistics], seed: int = 1, independent: bool = False, factor: float = 1.0, support=None) -> DataFrame:
     """Node indices, <field>_heterogeneity and, with a support, taper. Values are tapered after their deviation was set."""
     dims = len(lattice.axes)
-    per = {f: s.lengths * dims if len(s.lengths) == 1 else s.lengths or (0.0,) * dims for f, s in stats.items()}
+    per = {f: by_axis(s.lengths, dims) for f, s in stats.items()}
     pads = padding(lattice, tuple(max(a) for a in zip(*per.values(), strict=True)), factor)
     shape, incs = [a.n for a in lattice.axes], [abs(a.inc) for a in lattice.axes]
     keys = lattice.keys

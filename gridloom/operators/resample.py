@@ -1,7 +1,8 @@
 """Resampling of series, columns and planes.
 
-Samples along an axis form runs: consecutive samples with values. Targets get values within a run only, never before
-its first or after its last sample. A gap may be bridged, up to a distance. Linear, nearest and step-up are expressions
+Samples along an axis form runs: consecutive nodes with values. Where samples have a node index, it tells which are
+consecutive, so a node without a row is a gap like one whose value is null; without an index, every sample is a row.
+Targets get values within a run only, never before its first or after its last sample. A gap may be bridged, up to a distance. Linear, nearest and step-up are expressions
 over neighbouring samples, exploded onto the target indices they cover, so there is no join of samples with targets.
 """
 
@@ -19,17 +20,22 @@ from ..plans.lattice import EPS, Axis, Lattice
 MODES = ("l", "n", "e", "a", "c", "s")
 
 
-def pieces(df: DataFrame, group: list[str], x: str, v: str, bridge: bool | float = False) -> DataFrame:
+def _places(group: list[str], x: str, index: str | None) -> Column:
+    """The numbers of samples along the axis: their node index, or else their rank."""
+    return F.col(index) if index else F.row_number().over(Window.partitionBy(*group).orderBy(x))
+
+
+def pieces(df: DataFrame, group: list[str], x: str, v: str, bridge: bool | float = False, index: str | None = None) -> DataFrame:
     """group, x0, v0, x1, v1 of successive samples in one run, and x1 = x0 for the last sample of a run.
 
-    bridge: False, True or the largest distance between samples around a gap.
+    bridge: False, True or the largest distance between samples around a gap. index: the column of the node index.
     """
-    order = Window.partitionBy(*group).orderBy(x)
-    given = df.select(*group, F.col(x).cast("double").alias("x0"), F.col(v).cast("double").alias("v0"), F.row_number().over(order).alias("at"))
+    given = df.select(*group, F.col(x).cast("double").alias("x0"), F.col(v).cast("double").alias("v0"), _places(group, x, index).alias("at"))
     given = given.where(F.col("v0").isNotNull() & ~F.isnan("v0") & (F.abs("v0") != float("inf")))
-    order = Window.partitionBy(*group).orderBy("at")
+    # By coordinate: an axis may run against its index.
+    order = Window.partitionBy(*group).orderBy("x0")
     step = given.withColumns({"x1": F.lead("x0").over(order), "v1": F.lead("v0").over(order), "next": F.lead("at").over(order)})
-    joined = F.col("next") == F.col("at") + 1
+    joined = F.abs(F.col("next") - F.col("at")) == 1
     if bridge is True:
         joined = F.col("next").isNotNull()
     elif bridge:
@@ -40,11 +46,11 @@ def pieces(df: DataFrame, group: list[str], x: str, v: str, bridge: bool | float
     return step.select(*group, "x0", "v0", F.when(F.col("joined"), F.col("x1")).otherwise(F.col("x0")).alias("x1"), F.when(F.col("joined"), F.col("v1")).otherwise(F.col("v0")).alias("v1"), "alone")
 
 
-def run_numbers(df: DataFrame, group: list[str], x: str, v: str, bridge: bool | float = False) -> DataFrame:
+def run_numbers(df: DataFrame, group: list[str], x: str, v: str, bridge: bool | float = False, index: str | None = None) -> DataFrame:
     """df's samples with values, and the number of the run each is in, from 0."""
     order = Window.partitionBy(*group).orderBy(x)
-    at = df.withColumn("__at", F.row_number().over(order)).where(F.col(v).isNotNull() & ~F.isnan(v))
-    gap = F.col("__at") - F.lag("__at").over(order) > 1
+    at = df.withColumn("__at", _places(group, x, index)).where(F.col(v).isNotNull() & ~F.isnan(v))
+    gap = F.abs(F.col("__at") - F.lag("__at").over(order)) > 1
     far = F.lit(bridge is False) if isinstance(bridge, bool) else F.col(x) - F.lag(x).over(order) > float(bridge)
     new = at.withColumn("__new", F.coalesce((gap & far).cast("int"), F.lit(0)))
     return new.withColumn("run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__at", "__new")
@@ -59,15 +65,15 @@ def _between(mode: str, x: Column) -> Column:
     return v0  # step-up
 
 
-def resample(df: DataFrame, group: list[str], x: str, fields: list[str], target: Axis, mode: str = "l", bridge: bool | float = False, smooth: float = 0.0) -> DataFrame:
+def resample(df: DataFrame, group: list[str], x: str, fields: list[str], target: Axis, mode: str = "l", bridge: bool | float = False, smooth: float = 0.0, index: str | None = None) -> DataFrame:
     """group, the target's index, and fields at its nodes; nodes without a value have no row, or null where another field has one."""
     if mode not in MODES:
         raise ValueError(f"unknown interpolation: {mode}")
     if mode in "acs" or not target.regular:
-        return _by_kernel(df, group, x, fields, target, mode, bridge, smooth)
+        return _by_kernel(df, group, x, fields, target, mode, bridge, smooth, index)
     key, parts = target.key, []
     for k, f in enumerate(fields):
-        p = pieces(df, group, x, f, bridge)
+        p = pieces(df, group, x, f, bridge, index)
         first = F.greatest(F.ceil((F.col("x0") - target.lo) / target.inc - 1e-6), F.lit(0)).cast("int")
         last = F.least(F.floor((F.col("x1") - target.lo) / target.inc + 1e-6), F.lit(target.n - 1)).cast("int")
         p = p.withColumns({"first": first, "last": last}).where("first <= last")
@@ -85,12 +91,14 @@ def resample(df: DataFrame, group: list[str], x: str, fields: list[str], target:
     return every.groupBy(*group, key).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f) for k, f in enumerate(fields)])
 
 
-def _by_kernel(df, group, x, fields, target, mode, bridge, smooth) -> DataFrame:
+def _by_kernel(df, group, x, fields, target, mode, bridge, smooth, index) -> DataFrame:
     """One group of samples at a time in numpy: splines, and irregular targets."""
     to, key, names = np.array(target.values()), target.key, list(fields)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(x)
+        if index:
+            pdf = _with_gaps(pdf, index, x, names)
         out = {g: pdf[g].iloc[0] for g in group} | {key: np.arange(len(to), dtype=np.int32)}
         for f in names:
             out[f] = splines.sample(pdf[x].to_numpy(float), pdf[f].to_numpy(float, na_value=np.nan), to, mode, bridge, smooth)
@@ -103,9 +111,21 @@ def _by_kernel(df, group, x, fields, target, mode, bridge, smooth) -> DataFrame:
     return df.groupBy(*group).applyInPandas(one, ", ".join(kinds))
 
 
+def _with_gaps(pdf: pd.DataFrame, index: str, x: str, names: list[str]) -> pd.DataFrame:
+    """A row without values in each gap of the index, halfway; the kernels know gaps by such rows."""
+    at, z = pdf[index].to_numpy(), pdf[x].to_numpy(float)
+    gap = np.flatnonzero(np.abs(np.diff(at)) > 1)
+    if not len(gap):
+        return pdf
+    more = pdf.iloc[gap].copy()
+    more[x] = (z[gap] + z[gap + 1]) / 2
+    more[names] = np.nan
+    return pd.concat([pdf, more]).sort_values(x)
+
+
 def vertical(df: DataFrame, z: str, fields: list[str], target: Axis, mode: str = "l", bridge: bool | float = False, smooth: float = 0.0) -> DataFrame:
-    """Every column of a cube once onto all new layers. df: iy, ix, z, fields."""
-    return resample(df, ["iy", "ix"], z, fields, target, mode, bridge, smooth)
+    """Every column of a cube once onto all new layers. df: iz, iy, ix, z, fields; without iz, a column's gaps are its rows without values."""
+    return resample(df, ["iy", "ix"], z, fields, target, mode, bridge, smooth, "iz" if "iz" in df.columns else None)
 
 
 def horizontal(df: DataFrame, source: Lattice, target: Lattice, fields: list[str], mode: str = "b", layer: list[str] | None = None, threshold: float = 0.5) -> DataFrame:

@@ -117,20 +117,70 @@ def is_monotone(points: list[tuple[float, float]]) -> bool:
 
 
 def envelope(points: list[tuple[float, float]], x: Axis, y: Axis) -> list[tuple[float, float]]:
-    """A monotone polygon around one that isn't, from the ends of its rows."""
+    """A monotone polygon of nodes around one that isn't: rows and columns are filled between their ends until none has a gap."""
     rows, _ = polygon_spans(points, x, y)
+    while True:
+        cols: dict[int, tuple[int, int]] = {}
+        for r, (a, b) in rows.items():
+            for c in range(a, b + 1):
+                lo, hi = cols.get(c, (r, r))
+                cols[c] = (min(lo, r), max(hi, r))
+        more: dict[int, tuple[int, int]] = {}
+        for c, (lo, hi) in cols.items():
+            for r in range(lo, hi + 1):
+                a, b = more.get(r, (c, c))
+                more[r] = (min(a, c), max(b, c))
+        if more == rows:
+            break
+        rows = more
     keys = sorted(rows)
     right = [(x.lo + rows[k][1] * x.inc, y.lo + k * y.inc) for k in keys]
     left = [(x.lo + rows[k][0] * x.inc, y.lo + k * y.inc) for k in reversed(keys)]
     return right + left
 
 
+def piecewise_envelope(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """A monotone polygon from vertices of one that isn't.
+
+    Between its extremes (west, north, east, south) a polygon has four sides. On each, a vertex that goes back in x or y is
+    left out, so pieces of the outline stay as they are where they are monotone. Our own definition.
+    """
+    ring = points[:-1] if points[0] == points[-1] else list(points)
+    area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))
+    ring = ring[::-1] if area > 0 else ring  # clockwise
+    n = len(ring)
+    corners = [min(range(n), key=lambda i: ring[i]), max(range(n), key=lambda i: (ring[i][1], ring[i][0])), max(range(n), key=lambda i: ring[i]), min(range(n), key=lambda i: (ring[i][1], ring[i][0]))]
+    out: list[tuple[float, float]] = []
+    for k, (sx, sy) in enumerate(((1, 1), (1, -1), (-1, -1), (-1, 1))):
+        first, last = corners[k], corners[(k + 1) % 4]
+        end = ring[last]
+        side = [ring[(first + i) % n] for i in range((last - first) % n)]
+        for p in side:
+            back = lambda a, b: sx * (b[0] - a[0]) < 0 or sy * (b[1] - a[1]) < 0  # noqa: B023, E731
+            if not (out and side[0] != p and back(out[-1], p)) and not back(p, end):
+                out.append(p)
+    return out
+
+
 def polygon_support(points: list[tuple[float, float]], x: Axis, y: Axis, tapers: dict[str, Taper] | None = None, convert: str | None = None) -> Support:
-    """convert: "envelope" makes a polygon monotone that isn't; else that is an error."""
+    """convert: "envelope" or "piecewise" makes a polygon monotone that isn't; else that is an error."""
     if not is_monotone(points):
-        if convert != "envelope":
+        if convert not in ("envelope", "piecewise"):
             raise ValueError("the polygon is not monotone in x and y; convert it to its envelope")
-        points = envelope(points, x, y)
+        points = envelope(points, x, y) if convert == "envelope" else piecewise_envelope(points)
     rows, cols = polygon_spans(points, x, y)
     box = {"y": (min(rows), max(rows)), "x": (min(cols), max(cols))}
     return Support(box, tapers or {}, rows, cols)
+
+
+def perturbation_support(lattice: Lattice, ranges: dict[str, tuple[float, float]] | None = None, polygon: list[tuple[float, float]] | None = None, tapers: dict[str, Taper] | None = None, convert: str | None = None) -> Support:
+    """The support of a random field: ranges by axis name, and a polygon to which x and y shrink. It must lie within the lattice."""
+    found = box_support(lattice, ranges or {}, tapers)
+    if polygon:
+        shape = polygon_support(polygon, lattice.axis("x"), lattice.axis("y"), tapers, convert)
+        found = Support(found.box | shape.box, found.tapers, shape.rows, shape.cols)
+    for a in lattice.axes:
+        lo, hi = found.box[a.name]
+        if lo < 0 or hi > a.n - 1:
+            raise ValueError(f"axis {a.name}: the support must lie within the lattice")
+    return found

@@ -101,16 +101,30 @@ class Lattice:
     def axis(self, name: str) -> Axis:
         return next(a for a in self.axes if a.name == name)
 
-    def nodes(self, spark: SparkSession) -> DataFrame:
-        """Node indices and coordinates, from one range; no cross join."""
-        df, left = spark.range(self.size), F.col("id")
+    def nodes(self, spark: SparkSession, box: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+        """Node indices and coordinates, from one range; no cross join. box: first and last index by axis name, of the nodes wanted."""
+        ends = {a.name: (box or {}).get(a.name, (0, a.n - 1)) for a in self.axes}
+        df, left = spark.range(math.prod(max(hi - lo + 1, 0) for lo, hi in ends.values())), F.col("id")
         columns = {}
         for a in reversed(self.axes):
-            columns[a.key] = (left % a.n).cast("int")
-            left = F.floor(left / a.n)
+            lo, hi = ends[a.name]
+            columns[a.key] = (left % max(hi - lo + 1, 1) + lo).cast("int")
+            left = F.floor(left / max(hi - lo + 1, 1))
         df = df.select(*[columns[a.key].alias(a.key) for a in self.axes])
         return df.withColumns({a.name: a.coordinate() for a in self.axes})
 
+    def covered(self, other: Lattice) -> dict[str, tuple[int, int]]:
+        """First and last index by axis name of the nodes within the other's ends (the first after the last if there are none)."""
+        found = {}
+        for a, b in zip(self.axes, other.axes, strict=True):
+            if a.regular:
+                first, last = math.ceil((b.lo - a.lo) / a.inc - 1e-6), math.floor((b.hi - a.lo) / a.inc + 1e-6)
+            else:
+                within = [i for i, v in enumerate(a.values()) if b.lo <= v <= b.hi] or [0, -1]
+                first, last = within[0], within[-1]
+            found[a.name] = (max(first, 0), min(last, a.n - 1))
+        return found
+
     def inside(self, other: Lattice) -> bool:
         """Whether this lattice lies within the other's ends, but for round-off."""
         near = lambda x: 64 * EPS * max(1.0, abs(x))

@@ -23,13 +23,17 @@ class Placed:
     secondary: DataFrame | None = None
     sec: str | None = None
     weight: Column | None = None  # over node indices and coordinates; null outside the support
+    box: dict[str, tuple[int, int]] | None = None  # first and last index by axis, around the domain
 
 
 def relation(spark: SparkSession, lattice: Lattice, records: list[Placed], fields: list[str]) -> DataFrame:
-    """A row for each record and node in its domain: rec, keys, p_<f>, s_<f>, w, pair, prim, sec."""
+    """A row for each record and node in its domain: rec, keys, p_<f>, s_<f>, w, pair, prim, sec.
+
+    The nodes of a record are made from its box, so a tile costs what it covers, not the lattice.
+    """
     keys, out = lattice.keys, None
     for rec, r in enumerate(records):
-        nodes = lattice.nodes(spark).where(r.domain)
+        nodes = lattice.nodes(spark, r.box).where(r.domain)
         rows = nodes.join(r.primary.select(*keys, *[F.col(f).alias(f"p_{f}") for f in fields]), keys, "left")
         if r.secondary is not None:
             rows = rows.join(r.secondary.select(*keys, *[F.col(f).alias(f"s_{f}") for f in fields]), keys, "left")

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from .functions import geotech, transforms, windows
 from .operators import columns, heterogeneity, holes, merge, resample, supports
 from .operators import geotech as layer
+from .plans import programs
+from .plans.gridframe import GridFrame
 from .plans.lattice import Axis, Lattice
 from .plans.merging import Placed, relation
+from .sources.text import Record
 
 HOURS = Axis("x", 0.0, 1.0, 720)
 _T0 = 1704067200  # 2024-01-01 UTC
@@ -235,17 +238,16 @@ GX, GY, GZ = Axis("x", 0.0, 1.0, 11), Axis("y", 0.0, 1.0, 9), Axis("z", 0.0, 10.
 
 
 def cube(spark, sf_dir) -> DataFrame:
-    """iz, iy, ix, z, v: mean price by quantity, tax and discount; nodes where 7 divides 3 iz + 5 iy + ix are left out."""
+    """iz, iy, ix, z, v: mean price by quantity, tax and discount; v is missing at nodes where 7 divides 3 iz + 5 iy + ix."""
     df = _table(spark, sf_dir, "lineitem").select(
         F.floor((F.col("l_quantity") - 1) / 5).cast("int").alias("iz"), F.round(F.col("l_tax") * 100).cast("int").alias("iy"), F.round(F.col("l_discount") * 100).cast("int").alias("ix"), "l_extendedprice"
     )
-    df = df.where("(3 * iz + 5 * iy + ix) % 7 <> 0").groupBy("iz", "iy", "ix").agg((F.floor(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count(F.lit(1)) / 1000) / 100.0).alias("v"))
-    return df.withColumn("z", F.col("iz") * 10.0)
+    df = df.groupBy("iz", "iy", "ix").agg((F.floor(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count(F.lit(1)) / 1000) / 100.0).alias("v"))
+    return df.withColumns({"v": F.when(F.expr("(3 * iz + 5 * iy + ix) % 7 <> 0"), F.col("v")), "z": F.col("iz") * 10.0})
 
 
-_CUBE = """cube AS (SELECT iz, iy, ix, iz * 10.0 AS z, v FROM (SELECT iz, iy, ix, floor(sum(CAST(round(p * 100) AS BIGINT)) / count(*) / 1000) / 100.0 AS v FROM (
-  SELECT CAST(floor((l_quantity - 1) / 5) AS INTEGER) AS iz, CAST(round(l_tax * 100) AS INTEGER) AS iy, CAST(round(l_discount * 100) AS INTEGER) AS ix, l_extendedprice AS p FROM lineitem)
-  WHERE (3 * iz + 5 * iy + ix) % 7 <> 0 GROUP BY iz, iy, ix))"""
+_CUBE = """cube AS (SELECT iz, iy, ix, iz * 10.0 AS z, CASE WHEN (3 * iz + 5 * iy + ix) % 7 <> 0 THEN v END AS v FROM (SELECT iz, iy, ix, floor(sum(CAST(round(p * 100) AS BIGINT)) / count(*) / 1000) / 100.0 AS v FROM (
+  SELECT CAST(floor((l_quantity - 1) / 5) AS INTEGER) AS iz, CAST(round(l_tax * 100) AS INTEGER) AS iy, CAST(round(l_discount * 100) AS INTEGER) AS ix, l_extendedprice AS p FROM lineitem) GROUP BY iz, iy, ix))"""
 
 
 @_query(f"WITH {_CUBE} SELECT iz, iy, ix, CAST(z AS DOUBLE) AS z, v FROM cube")
@@ -271,7 +273,7 @@ _HALF = Lattice((Axis("y", 0.25, 0.5, 16), Axis("x", 0.25, 0.5, 20)))
 def _around_sql(weight: str, dy: str, dx: str, least: float) -> str:
     return f"""WITH {_CUBE}, n AS (SELECT CAST(i // 20 AS INTEGER) AS iy, CAST(i % 20 AS INTEGER) AS ix, 0.25 + (i // 20) * 0.5 AS y, 0.25 + (i % 20) * 0.5 AS x FROM range(320) r(i)),
 c AS (SELECT iy, ix, {dy} AS sy, {dx} AS sx, {weight} AS w FROM n, range(2) a(p), range(2) b(q))
-SELECT cube.iz, c.iy, c.ix, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM c JOIN cube ON cube.iy = sy AND cube.ix = sx WHERE w > 1e-12 GROUP BY 1, 2, 3 HAVING sum(w) >= {least} - 1e-9"""
+SELECT cube.iz, c.iy, c.ix, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM c JOIN cube ON cube.iy = sy AND cube.ix = sx WHERE w > 1e-12 AND v IS NOT NULL GROUP BY 1, 2, 3 HAVING sum(w) >= {least} - 1e-9"""
 
 
 @_query(_around_sql("(CASE WHEN p = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN q = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END)", "floor(y) + p", "floor(x) + q", 0.5))
@@ -291,7 +293,7 @@ def grid_bicubic(spark, sf_dir):
     return resample.horizontal(cube(spark, sf_dir), Lattice((GY, GX)), _HALF, ["v"], "b", ["iz"])
 
 
-@_query(f"""WITH {_CUBE}, f AS (SELECT iy, ix, z AS x0, v AS v0, lead(z) OVER w AS x1, lead(v) OVER w AS v1, row_number() OVER w AS pos FROM cube WINDOW w AS (PARTITION BY iy, ix ORDER BY z)),
+@_query(f"""WITH {_CUBE}, f AS (SELECT iy, ix, z AS x0, v AS v0, lead(z) OVER w AS x1, lead(v) OVER w AS v1, row_number() OVER w AS pos FROM cube WHERE v IS NOT NULL WINDOW w AS (PARTITION BY iy, ix ORDER BY z)),
 t AS (SELECT CAST(i AS INTEGER) AS iz, 1.0 + i * 4.0 AS t FROM range(23) r(i))
 SELECT iy, ix, iz, round(CASE WHEN x1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (t - x0) / (x1 - x0) END, 6) + 0.0 AS v FROM f JOIN t ON CASE WHEN x1 IS NULL THEN t = x0 ELSE t >= x0 AND t < x1 END""")
 def cube_vertical_linear(spark, sf_dir):
@@ -299,6 +301,28 @@ def cube_vertical_linear(spark, sf_dir):
     return got.select("iy", "ix", "iz", _r(F.col("v")).alias("v"))
 
 
+_VERTICAL_GAPS = """f AS (SELECT iy, ix, z AS x0, v AS v0, CASE WHEN lead(iz) OVER w = iz + 1 THEN lead(z) OVER w END AS x1, lead(v) OVER w AS v1,
+  coalesce(lag(iz) OVER w = iz - 1, false) AS joined FROM {} WHERE v IS NOT NULL WINDOW w AS (PARTITION BY iy, ix ORDER BY z)),
+t AS (SELECT CAST(i AS INTEGER) AS iz, 1.0 + i * 4.0 AS t FROM range(23) r(i))
+SELECT iy, ix, iz, round(CASE WHEN x1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (t - x0) / (x1 - x0) END, 6) + 0.0 AS v FROM f JOIN t ON CASE WHEN x1 IS NULL THEN t = x0 ELSE t >= x0 AND t < x1 END"""
+
+
+@_query(f"WITH {_CUBE}, {_VERTICAL_GAPS.format('cube')}")
+def cube_vertical_gaps(spark, sf_dir):
+    """Gaps are by node: those of the cube, whose missing nodes have rows."""
+    got = resample.vertical(cube(spark, sf_dir), "z", ["v"], Axis("z", 1.0, 4.0, 23), "l")
+    return got.select("iy", "ix", "iz", _r(F.col("v")).alias("v"))
+
+
+@_query(f"{_around_sql('CASE WHEN p = 0 AND q = 0 THEN 1.0 ELSE 0.0 END', 'floor(y + 0.5)', 'floor(x + 0.5)', 0.5).replace('SELECT cube.iz', ', plane AS (SELECT cube.iz', 1)}), {_VERTICAL_GAPS.format('(SELECT *, iz * 10.0 AS z FROM plane)')}")
+def cube_horizontal_then_vertical(spark, sf_dir):
+    """The same after a horizontal step, which leaves no rows where it has no values."""
+    flat = resample.horizontal(cube(spark, sf_dir), Lattice((GY, GX)), _HALF, ["v"], "n", ["iz"])
+    flat = flat.select("iz", "iy", "ix", _r(F.col("v")).alias("v"), (F.col("iz") * 10.0).alias("z"))
+    got = resample.vertical(flat, "z", ["v"], Axis("z", 1.0, 4.0, 23), "l")
+    return got.select("iy", "ix", "iz", _r(F.col("v")).alias("v"))
+
+
 def _cube_rows(spark, sf_dir):
     """Two records over the cube: all of it by a polygon-free box, paired with a plane of means, and the plane alone."""
     df = cube(spark, sf_dir).persist()
@@ -329,8 +353,50 @@ def cube_weight(spark, sf_dir):
     return merge.report_weight(_cube_rows(spark, sf_dir), ["iz", "iy", "ix"], False, "cube").withColumn("weight", F.round("weight", 6))
 
 
+# Ten planes of the cube as tiles, each on a lattice of its own that is shifted against the one before.
+_WIDE = Lattice((Axis("y", 0.0, 1.0, 18), Axis("x", 0.0, 1.0, 29)))
+
+
+def _tiles(spark, sf_dir) -> dict[str, GridFrame]:
+    df = cube(spark, sf_dir)
+    return {f"tile{k}": GridFrame(df.where(F.col("iz") == k).select("iy", "ix", "v"), Lattice((Axis("y", float(k), 1.0, 9), Axis("x", 2.0 * k, 1.0, 11))), ("v",)) for k in range(10)}
+
+
+_NODES = "n AS (SELECT CAST(i // 29 AS INTEGER) AS iy, CAST(i % 29 AS INTEGER) AS ix FROM range(522) r(i)), tiles AS (SELECT iz AS k, iy + iz AS iy, ix + 2 * iz AS ix, iy AS ty, ix AS tx, v FROM cube)"
+
+
+@_query(f"WITH {_CUBE}, {_NODES}, g AS (SELECT iy, ix, arg_min(v, k) AS v FROM tiles WHERE v IS NOT NULL GROUP BY iy, ix) SELECT iy, ix, v FROM n LEFT JOIN g USING (iy, ix)")
+def merge_planes_clobber(spark, sf_dir):
+    return programs.merge_grids(spark, [f"tile{k}" for k in range(10)], _tiles(spark, sf_dir), _WIDE).df
+
+
+_SIDES = " * ".join(f"(CASE WHEN ({i} + 0.5) / (0.25 * {n}) < 1 THEN (1 - cos(pi() * ({i} + 0.5) / (0.25 * {n}))) / 2 ELSE 1.0 END)" for a, n in (("tx", 11), ("ty", 9)) for i in (a, f"({n - 1} - {a})"))
+
+
+@_query(f"""WITH {_CUBE}, {_NODES}, r AS (SELECT k, n.iy, n.ix, t.v AS p, 10.0 + n.ix AS s, n.ix - 2 * k AS tx, n.iy - k AS ty FROM n JOIN (SELECT CAST(i AS INTEGER) AS k FROM range(10) q(i)) q ON n.ix BETWEEN 2 * k AND 2 * k + 10 AND n.iy BETWEEN k AND k + 8 LEFT JOIN tiles t USING (k, iy, ix)),
+o AS (SELECT *, {_SIDES} AS w, row_number() OVER (PARTITION BY iy, ix ORDER BY k) AS pos FROM r)
+SELECT n.iy, n.ix, round(CASE WHEN p IS NOT NULL THEN w * p + (1 - w) * s END, 6) + 0.0 AS v, round(coalesce(w, 0), 6) + 0.0 AS weight FROM n LEFT JOIN (SELECT * FROM o WHERE pos = 1) x USING (iy, ix)""")
+def merge_planes_blend(spark, sf_dir):
+    """Every tile is paired with a background over all nodes."""
+    back = GridFrame(_WIDE.nodes(spark).select("iy", "ix", (10.0 + F.col("x")).alias("v")), _WIDE, ("v",))
+    records = [Record(f"tile{k}", "back", None, (supports.Taper("cosine", 0.25, 0.25),) * 2) for k in range(10)]
+    got = programs.merge_grids(spark, records, _tiles(spark, sf_dir) | {"back": back}, _WIDE, weight="append").df
+    return got.select("iy", "ix", _r(F.col("v")).alias("v"), _r(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+
+
+@_query(f"""WITH {_CUBE}, h AS (SELECT a.iz, a.iy, a.ix, (a.v + b.v) / 2 AS v FROM cube a JOIN cube b ON b.iz = a.iz + 1 AND b.iy = a.iy AND b.ix = a.ix),
+n AS (SELECT CAST(i // 99 AS INTEGER) AS iz, CAST((i // 11) % 9 AS INTEGER) AS iy, CAST(i % 11 AS INTEGER) AS ix FROM range(891) r(i))
+SELECT n.iz, n.iy, n.ix, round(coalesce(a.v, -b.v), 6) + 0.0 AS v FROM n LEFT JOIN h a USING (iz, iy, ix) LEFT JOIN h b ON b.iz = n.iz AND b.iy = n.iy - 1 AND b.ix = n.ix""")
+def merge_cubes_run(spark, sf_dir):
+    """The cube, and behind it itself, negated and one row further; layers are made halfway between theirs."""
+    own = GridFrame(cube(spark, sf_dir).select("iz", "iy", "ix", "v"), Lattice((GZ, GY, GX)), ("v",))
+    other = GridFrame(own.df.withColumn("v", -F.col("v")), Lattice((GZ, Axis("y", 1.0, 1.0, 9), GX)), ("v",))
+    got = programs.merge_grids(spark, ["own", "other"], {"own": own, "other": other}, Lattice((Axis("z", 5.0, 10.0, 9), GY, GX)))
+    return got.df.withColumn("v", _r(F.col("v")))
+
+
 def _holey(spark, sf_dir):
-    return cube(spark, sf_dir).where("NOT (iy BETWEEN 3 AND 4 AND ix BETWEEN 5 AND 6)")
+    return cube(spark, sf_dir).withColumn("v", F.when(F.expr("NOT (iy BETWEEN 3 AND 4 AND ix BETWEEN 5 AND 6)"), F.col("v")))
 
 
 @_query()
@@ -389,27 +455,70 @@ def _surfaces(spark):
     return Lattice((GY, GX)).nodes(spark).select("iy", "ix", (300.0 + 10 * F.col("ix")).alias("vs30"), (F.col("iy") > 1).alias("land"))
 
 
-@_query()
+def _poly(v: str, a: tuple[float, ...]) -> str:
+    out = str(a[-1])
+    for c in a[-2::-1]:
+        out = f"({c} + ({v}) * {out})"
+    return out
+
+
+# Published velocity and density relations.
+def _vp_sql(vs: str) -> str:
+    return f"(CASE WHEN {vs} > 0 AND {vs} <= 4500 THEN 1000 * {_poly(f'{vs} / 1000', (0.9409, 2.0947, -0.8206, 0.2683, -0.0251))} END)"
+
+
+def _rho_sql(vp: str) -> str:
+    return f"(CASE WHEN {vp} IS NOT NULL THEN greatest(1000.0, 1000 * ({vp} / 1000) * {_poly(f'{vp} / 1000', (1.6612, -0.4721, 0.0671, -0.0043, 0.000106))}) END)"
+
+
+def _ely_sql(top: str, anchor: str) -> str:
+    return f"((q + 2.0 / 3.0 * (q - q * q)) * {anchor} + (0.5 - q / 2 + 1.5 * (q * q + 2 * sqrt(q) - 3 * q)) * {top})"
+
+
+_LAYER = f"""{_CUBE}, m AS (SELECT iz, iy, ix, z * 10 AS z, v * 20 + 500 AS vs FROM cube),
+f AS (SELECT iy, ix, z AS x0, vs AS v0, CASE WHEN lead(iz) OVER w = iz + 1 THEN lead(z) OVER w END AS x1, lead(vs) OVER w AS v1 FROM m WHERE vs IS NOT NULL WINDOW w AS (PARTITION BY iy, ix ORDER BY z)),
+u AS (SELECT iy, ix, min(z) AS surface, min(z) + 350 AS base FROM m WHERE vs IS NOT NULL GROUP BY iy, ix),
+c AS (SELECT u.iy, u.ix, surface, 300.0 + 10 * u.ix AS vs30, u.iy > 1 AS land, min(CASE WHEN x1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (base - x0) / (x1 - x0) END) AS anchor
+  FROM u LEFT JOIN f ON f.iy = u.iy AND f.ix = u.ix AND base >= x0 AND base <= coalesce(x1, x0) GROUP BY ALL),
+l AS (SELECT m.*, c.land, c.vs30, c.anchor, c.land AND c.anchor IS NOT NULL AND z >= surface AND z <= surface + 350 AS inside, greatest((z - surface) / 350.0, 0.0) AS q FROM m LEFT JOIN c USING (iy, ix))"""
+
+
+@_query(f"WITH {_LAYER} SELECT iz, iy, ix, CAST(z AS DOUBLE) AS z, round(CASE WHEN inside THEN {_ely_sql('vs30', 'anchor')} ELSE vs END, 6) + 0.0 AS vs FROM l")
 def geotech_layer(spark, sf_dir):
-    return layer.geotech_layer(_velocity_cube(spark, sf_dir), _surfaces(spark), vs="vs", depth=350.0)
+    return layer.geotech_layer(_velocity_cube(spark, sf_dir), _surfaces(spark), vs="vs", depth=350.0).withColumn("vs", _r(F.col("vs")))
 
 
-@_query()
+@_query(f"""WITH {_LAYER}, n AS (SELECT *, {_ely_sql(_vp_sql('vs30'), _vp_sql('anchor'))} AS new_vp, CASE WHEN land THEN {_vp_sql('vs')} END AS own_vp FROM l)
+SELECT iz, iy, ix, CAST(z AS DOUBLE) AS z, round(CASE WHEN inside THEN {_ely_sql('vs30', 'anchor')} ELSE vs END, 6) + 0.0 AS vs, round(CASE WHEN inside THEN new_vp ELSE own_vp END, 6) + 0.0 AS vp,
+  round(CASE WHEN inside THEN {_rho_sql('new_vp')} ELSE {_rho_sql('own_vp')} END, 6) + 0.0 AS rho FROM n""")
 def geotech_created_fields(spark, sf_dir):
-    return layer.geotech_layer(_velocity_cube(spark, sf_dir), _surfaces(spark), vp="vp", vs="vs", rho="rho", create=("vp", "rho"))
+    got = layer.geotech_layer(_velocity_cube(spark, sf_dir), _surfaces(spark), vp="vp", vs="vs", rho="rho", create=("vp", "rho"))
+    return got.withColumns({f: _r(F.col(f)) for f in ("vs", "vp", "rho")})
+
 
+@_query(f"WITH {_LAYER} SELECT CASE WHEN NOT land THEN 'wet' WHEN anchor IS NULL THEN 'anchor' ELSE 'layer' END AS reason, count(*) AS columns FROM c GROUP BY 1")
+def near_surface_counts(spark, sf_dir):
+    """The whole run: planes of Vs30 and of the mask are sampled at the columns, and the columns are counted by reason."""
+    model = GridFrame(_velocity_cube(spark, sf_dir).select("iz", "iy", "ix", "vs"), Lattice((Axis("z", 0.0, 100.0, 10), GY, GX)), ("vs",))
+    plane = Lattice((GY, GX))
+    nodes = plane.nodes(spark)
+    vs30 = GridFrame(nodes.select("iy", "ix", (300.0 + 10 * F.col("ix")).alias("vs30")), plane, ("vs30",))
+    mask = GridFrame(nodes.select("iy", "ix", F.when(F.col("iy") > 1, 1.0).otherwise(0.0).alias("mask")), plane, ("mask",))
+    return programs.near_surface(model, vs30, vs="vs", mask=mask)[1]
 
-@_query(f"WITH {_CUBE}, t AS (SELECT iy, ix, min(z) - 5 AS z FROM cube GROUP BY iy, ix) SELECT iy, ix, CASE WHEN z < 0 THEN true WHEN z > 0 THEN false ELSE true END AS land FROM t")
+
+@_query(f"WITH {_CUBE}, t AS (SELECT iy, ix, min(z) - 5 AS z FROM cube WHERE v IS NOT NULL GROUP BY iy, ix) SELECT iy, ix, CASE WHEN z < 0 THEN true WHEN z > 0 THEN false ELSE true END AS land FROM t")
 def column_evidence(spark, sf_dir):
     return layer.column_evidence(cube(spark, sf_dir).withColumn("z", F.col("z") - 5), "v")
 
 
 def _relief(spark, sf_dir):
-    """The cube with z upwards from -50 to 40."""
-    return cube(spark, sf_dir).withColumn("z", F.col("z") - 50.0).where("z <= 30 - 10 * (ix % 4)")
+    """The cube with z upwards from -50 to 40, and no values above the ground."""
+    return cube(spark, sf_dir).withColumn("z", F.col("z") - 50.0).withColumn("v", F.when(F.expr("z <= 30 - 10 * (ix % 4)"), F.col("v")))
 
 
-_RELIEF = f"{_CUBE}, relief AS (SELECT iz, iy, ix, z - 50.0 AS z, v FROM cube WHERE z - 50.0 <= 30 - 10 * (ix % 4))"
+_RELIEF = f"""{_CUBE}, nodes AS (SELECT iz, iy, ix, z - 50.0 AS z, CASE WHEN z - 50.0 <= 30 - 10 * (ix % 4) THEN v END AS v FROM cube),
+relief AS (SELECT * FROM nodes WHERE v IS NOT NULL)"""
 
 
 @_query(f"WITH {_RELIEF} SELECT iy, ix, CAST(max(z) AS DOUBLE) AS land_surface FROM relief GROUP BY iy, ix")
@@ -417,10 +526,11 @@ def infer_surface(spark, sf_dir):
     return columns.infer_surface(_relief(spark, sf_dir), ["v"]).select("iy", "ix", "land_surface")
 
 
-@_query(f"""WITH {_RELIEF}, b AS (SELECT iy, ix, z, v, sum(CASE WHEN z <= 0 AND NOT coalesce(abs(v - 50) <= 5, false) THEN 1 ELSE 0 END) OVER (PARTITION BY iy, ix ORDER BY z DESC) AS n FROM relief)
-SELECT iy, ix, CAST(CASE WHEN max(CASE WHEN z <= 0 AND n = 0 THEN 1 END) = 1 THEN max(CASE WHEN z <= 0 AND n = 1 AND NOT abs(v - 50) <= 5 THEN z END) END AS DOUBLE) AS water_surface FROM b GROUP BY iy, ix""")
+@_query(f"""WITH {_RELIEF}, b AS (SELECT iy, ix, z, v, sum(CASE WHEN z <= 0 AND NOT coalesce(abs(v - 50) <= 5, false) THEN 1 ELSE 0 END) OVER (PARTITION BY iy, ix ORDER BY z DESC) AS n FROM nodes),
+e AS (SELECT iy, ix, max(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS begun, max(CASE WHEN n = 1 AND NOT coalesce(abs(v - 50) <= 5, false) THEN z END) AS z FROM b WHERE z <= 0 GROUP BY iy, ix)
+SELECT iy, ix, CAST(CASE WHEN begun = 1 AND nodes.v IS NOT NULL THEN e.z END AS DOUBLE) AS water_surface, begun = 1 AND nodes.v IS NULL AS conflict FROM e LEFT JOIN nodes USING (iy, ix, z)""")
 def infer_water_surface(spark, sf_dir):
-    return columns.infer_surface(_relief(spark, sf_dir), ["v"], {"v": 50.0}, {"v": 5.0}).select("iy", "ix", "water_surface")
+    return columns.infer_surface(_relief(spark, sf_dir), ["v"], {"v": 50.0}, {"v": 5.0}).select("iy", "ix", "water_surface", "conflict")
 
 
 @_query("SELECT c_custkey, CASE WHEN c_acctbal / 5000 >= 0.5 THEN 1 WHEN c_acctbal / 5000 < 0.5 THEN 2 END AS cls FROM customer")
@@ -440,8 +550,8 @@ def new_surface_scope(spark, sf_dir):
     return _shifted(spark, sf_dir, "land").select("iy", "ix", "modify", "new")
 
 
-def _shift_sql(source: str, value: str) -> str:
-    return f"""WITH {_RELIEF}, s AS (SELECT iy, ix, CAST(max(z) AS DOUBLE) AS old, CASE WHEN iy < 7 THEN 1 ELSE 2 END AS cls, iy * 6.0 - 10 AS req FROM relief GROUP BY iy, ix),
+def _shift_sql(source: str, value: str, requested: str = "iy * 6.0 - 10") -> str:
+    return f"""WITH {_RELIEF}, s AS (SELECT iy, ix, CAST(max(z) AS DOUBLE) AS old, CASE WHEN iy < 7 THEN 1 ELSE 2 END AS cls, {requested} AS req FROM relief GROUP BY iy, ix),
 c AS (SELECT *, CASE WHEN cls = 2 AND req > 0 THEN 0.0 ELSE req END AS new FROM s),
 t AS (SELECT c.*, CAST(i AS INTEGER) AS iz, -60.0 + i * 6.0 AS z FROM c, range(20) r(i)),
 u AS (SELECT *, {source} AS src FROM t),
@@ -465,16 +575,38 @@ for _name, _source, _more in (
     _query(_shift_sql(_source, _TOP.format(_more)), _name)(_moved)
 
 
-@_query()
+@_query(_shift_sql(_PULL, "CASE WHEN z > new THEN NULL ELSE v END", "0.0"))
 def remove_surface(spark, sf_dir):
-    return columns.transform_columns(_relief(spark, sf_dir), _shifted(spark, sf_dir, None, "remove"), {"v": columns.Fill()}, Axis("z", -60.0, 6.0, 20), "remove", "pull", True)
+    got = columns.transform_columns(_relief(spark, sf_dir), _shifted(spark, sf_dir, None, "remove"), {"v": columns.Fill()}, Axis("z", -60.0, 6.0, 20), "remove", "pull", True)
+    return got.select("iz", "iy", "ix", _r(F.col("v")).alias("v"))
+
+
+def _topography(spark, sf_dir):
+    """The whole run: the new surface and the mask are planes."""
+    plane = Lattice((GY, GX))
+    model = GridFrame(_relief(spark, sf_dir).select("iz", "iy", "ix", "v"), Lattice((Axis("z", -50.0, 10.0, 10), GY, GX)), ("v",))
+    nodes = plane.nodes(spark)
+    surface = GridFrame(nodes.select("iy", "ix", (F.col("iy") * 6.0 - 10).alias("s")), plane, ("s",))
+    mask = GridFrame(nodes.select("iy", "ix", F.when(F.col("iy") < 7, 1.0).otherwise(0.0).alias("m")), plane, ("m",))
+    return programs.topography(model, surface, mask=mask, fills={"v": columns.Fill(-1.0, -2.0)}, levels=Axis("z", -60.0, 6.0, 20), steps=programs.Steps(bridge=True))
+
+
+@_query(SQL["column_pull"])
+def topography_run(spark, sf_dir):
+    return _topography(spark, sf_dir)[0].df.select("iz", "iy", "ix", _r(F.col("v")).alias("v"))
+
+
+@_query(f"""WITH {_RELIEF}, s AS (SELECT iy, ix, CAST(max(z) AS DOUBLE) AS old, CASE WHEN iy < 7 THEN 1 ELSE 2 END AS class, iy * 6.0 - 10 AS req FROM relief GROUP BY iy, ix)
+SELECT iy, ix, old, CAST(CASE WHEN class = 2 AND req > 0 THEN 0.0 ELSE req END AS DOUBLE) AS new, true AS modify, class, false AS conflict FROM s""")
+def topography_report(spark, sf_dir):
+    return _topography(spark, sf_dir)[1]
 
 
 @_query(f"""WITH {_RELIEF}, s AS (SELECT iy, ix, max(z) AS old, min(z) AS base, CASE WHEN iy < 7 THEN 1 ELSE 2 END AS cls, iy * 6.0 - 10 AS req FROM relief GROUP BY iy, ix),
 c AS (SELECT *, CASE WHEN cls = 2 AND req > 0 THEN 0.0 ELSE req END AS new FROM s)
 SELECT CAST(floor(min(base + new - old) / 10.0) * 10 AS DOUBLE) AS lo, CAST(ceil(max(new) / 10.0) * 10 AS DOUBLE) AS hi FROM c""")
 def auto_axis(spark, sf_dir):
-    ends = _relief(spark, sf_dir).groupBy("iy", "ix").agg(F.min("z").alias("base"), F.max("z").alias("surface"))
+    ends = _relief(spark, sf_dir).where("v IS NOT NULL").groupBy("iy", "ix").agg(F.min("z").alias("base"), F.max("z").alias("surface"))
     return columns.output_range(_shifted(spark, sf_dir), ends, 10.0)
 
 
@@ -504,6 +636,13 @@ def hetero_taper(spark, sf_dir):
     return got.select("ix", F.round("taper", 9).alias("taper"))
 
 
+@_query()
+def perturb_run(spark, sf_dir):
+    """The whole run on the cube: a random field of its price, anisotropic and tapered."""
+    model = GridFrame(cube(spark, sf_dir).select("iz", "iy", "ix", "v"), Lattice((GZ, GY, GX)), ("v",))
+    return programs.perturb(model, {"v": heterogeneity.Statistics(0.05, (3.0, 2.0, 20.0))}, 11, tapers={a: supports.Taper() for a in "xyz"})[0].df
+
+
 @_query()
 def hetero_apply(spark, sf_dir):
     model = hourly(spark, sf_dir).select("kind", "ix", "v")

@@ -1,18 +1,23 @@
 """NetCDF classic (CDF-1, CDF-2) files and CDL text, and cubes made of their variables.
 
-The format is read and written from its public description. Files hold a header and plain arrays, so a variable is
-read by a seek; a cube becomes rows by layer, and each layer is a task's work.
+The format is read and written from its public description. Files hold a header and plain arrays. They are mapped into
+memory, so the driver reads headers and axes only. Rows come by a Spark data source whose partitions are ranges along the
+slowest axis; a task reads its own range. The sink writes a layer at a time. Paths have to be visible to all executors.
 """
 
 from __future__ import annotations
 
+import math
+import mmap
 import re
 import struct
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.transforms import Transform, parse_source
 from ..plans.lattice import Axis, Lattice
@@ -41,8 +46,9 @@ class Dataset:
 
 
 def read_classic(path: str) -> Dataset:
+    """Header and variables; their arrays are views of the mapped file, read when they are used."""
     with open(path, "rb") as f:
-        raw = f.read()
+        raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
     if raw[:3] != b"CDF" or raw[3] not in (1, 2):
         raise ValueError(f"{path} is not a classic NetCDF file")
     wide, at = raw[3] == 2, 4
@@ -98,7 +104,8 @@ def read_classic(path: str) -> Dataset:
     return found
 
 
-def write_classic(data: Dataset, path: str) -> None:
+def _header(data: Dataset) -> tuple[bytes, list[int]]:
+    """The header of a file, and where each variable begins."""
     numbers = {v: k for k, v in TYPES.items()}
 
     def text(s: str) -> bytes:
@@ -124,16 +131,23 @@ def write_classic(data: Dataset, path: str) -> None:
     head += struct.pack(">ii", 10, len(names)) + b"".join(text(n) + struct.pack(">i", data.dims[n]) for n in names) if names else struct.pack(">ii", 0, 0)
     head += attributes(data.attrs)
     head += struct.pack(">ii", 11, len(data.variables)) if data.variables else struct.pack(">ii", 0, 0)
-    bodies = [v.data.astype(v.dtype).tobytes() for v in data.variables.values()]
-    bodies = [b + b"\0" * (-len(b) % 4) for b in bodies]
-    parts = [text(v.name) + struct.pack(">i", len(v.dims)) + b"".join(struct.pack(">i", names.index(d)) for d in v.dims) + attributes(v.attrs) + struct.pack(">ii", numbers[v.dtype], len(b)) for v, b in zip(data.variables.values(), bodies, strict=True)]
-    begin = len(head) + sum(len(p) + 8 for p in parts)
+    sizes = [-(-math.prod(v.data.shape) * np.dtype(v.dtype).itemsize // 4) * 4 for v in data.variables.values()]
+    # The size of a variable does not fit its place in the header if it is 4 GB or more; readers work it out from the shape.
+    parts = [text(v.name) + struct.pack(">i", len(v.dims)) + b"".join(struct.pack(">i", names.index(d)) for d in v.dims) + attributes(v.attrs) + struct.pack(">iI", numbers[v.dtype], min(n, (1 << 32) - 1)) for v, n in zip(data.variables.values(), sizes, strict=True)]
+    begins = [len(head) + sum(len(p) + 8 for p in parts)]
+    for n in sizes:
+        begins.append(begins[-1] + n)
+    return head + b"".join(p + struct.pack(">q", at) for p, at in zip(parts, begins, strict=False)), begins
+
+
+def write_classic(data: Dataset, path: str) -> None:
+    head, begins = _header(data)
     with open(path, "wb") as f:
         f.write(head)
-        for p, b in zip(parts, bodies, strict=True):
-            f.write(p + struct.pack(">q", begin))
-            begin += len(b)
-        f.writelines(bodies)
+        for v, at in zip(data.variables.values(), begins, strict=False):
+            f.seek(at)
+            f.write(v.data.astype(v.dtype).tobytes())
+        f.truncate(begins[-1])
 
 
 def parse_cdl(text: str) -> Dataset:
@@ -178,11 +192,12 @@ def axis_of(v: Variable) -> str | None:
     return next((k for k, names in _NAMES.items() if v.name.lower() in names), None)
 
 
-def unpacked(v: Variable, scale: float = 1.0, sentinel: float | None = None) -> np.ndarray:
-    """Doubles, NaN where the packed value is a missing one."""
+def unpacked(v: Variable, scale: float = 1.0, sentinel: float | None = None, data: np.ndarray | None = None) -> np.ndarray:
+    """Doubles, NaN where the packed value is a missing one; of a part of the variable's data if it is given."""
+    data = v.data if data is None else data
     gone = [v.attrs[k] for k in ("_FillValue", "missing_value") if k in v.attrs] + ([sentinel] if sentinel is not None else [])
-    out = v.data.astype(float)
-    packed = v.data.astype(np.dtype(v.dtype).newbyteorder("="))
+    out = data.astype(float)
+    packed = data.astype(np.dtype(v.dtype).newbyteorder("="))
     for g in gone:
         out[packed == np.array(g, packed.dtype)] = np.nan
     out = (out * float(v.attrs.get("scale_factor", 1.0)) + float(v.attrs.get("add_offset", 0.0))) * scale
@@ -190,8 +205,26 @@ def unpacked(v: Variable, scale: float = 1.0, sentinel: float | None = None) ->
     return out
 
 
-def open_fields(data: Dataset, fields: tuple[str, ...] = (), transform: Transform | None = None) -> tuple[Lattice, dict[str, np.ndarray], dict[str, str]]:
-    """Lattice (slowest axis first), arrays in its order, and units of the fields (by default the first one with axes)."""
+@dataclass
+class Layout:
+    """How fields lie in a file: their lattice (slowest axis first), and the order and direction of their dimensions."""
+
+    fields: tuple[str, ...]
+    lattice: Lattice
+    order: list[str]
+    flips: list[bool]
+    units: dict[str, str]
+
+    def values(self, data: Dataset, transform: Transform, field: str, part: slice = slice(None)) -> np.ndarray:
+        """A field in the lattice's order; part: of the slowest axis. Only that part of the file is read."""
+        v = data.variables[field]
+        a = np.transpose(v.data, [v.dims.index(d) for d in self.order])
+        a = a[tuple(slice(None, None, -1) if flip else slice(None) for flip in self.flips)][part]
+        return unpacked(v, transform.scale_of(self.fields.index(field), len(self.fields)), transform.sentinel, a)
+
+
+def layout(data: Dataset, fields: tuple[str, ...] = (), transform: Transform | None = None) -> Layout:
+    """Of the fields, by default the first one with axes."""
     transform = transform or Transform({}, {})
     axes = {n: k for n, v in data.variables.items() if v.dims == (n,) and (k := axis_of(v))}
     if not fields:
@@ -210,23 +243,71 @@ def open_fields(data: Dataset, fields: tuple[str, ...] = (), transform: Transfor
         flips.append(bool(name != "z" and len(coords) > 1 and coords[0] > coords[-1]))
         unit = transform.axis_unit.get(name) or (v.attrs.get("units") if transform.axis_scale.get(name, 1.0) == 1 else None)
         lattice.append(Axis.of(name, coords[::-1] if flips[-1] else coords, unit))
-    out, units = {}, {}
-    for i, f in enumerate(fields):
-        v = data.variables[f]
-        a = np.transpose(unpacked(v, transform.scale_of(i, len(fields)), transform.sentinel), [v.dims.index(d) for d in order])
-        out[f] = a[tuple(slice(None, None, -1) if flip else slice(None) for flip in flips)]
-        if unit := transform.unit_of(i, len(fields), v.attrs.get("units")):
-            units[f] = unit
-    return Lattice(tuple(lattice)), out, units
-
-
-def read_grid(spark: SparkSession, source: str):
-    """A GridFrame from path?fields+modifiers."""
+    units = {f: unit for i, f in enumerate(fields) if (unit := transform.unit_of(i, len(fields), data.variables[f].attrs.get("units")))}
+    return Layout(tuple(fields), Lattice(tuple(lattice)), order, flips, units)
+
+
+def open_fields(data: Dataset, fields: tuple[str, ...] = (), transform: Transform | None = None) -> tuple[Lattice, dict[str, np.ndarray], dict[str, str]]:
+    """Lattice, whole arrays in its order, and units of the fields."""
+    transform = transform or Transform({}, {})
+    found = layout(data, fields, transform)
+    return found.lattice, {f: found.values(data, transform, f) for f in found.fields}, found.units
+
+
+class NetcdfSource(DataSource):
+    """Rows of node indices and fields of path?fields+modifiers (option "path"); a partition has about "nodes" nodes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "netcdf_classic"
+
+    def _opened(self):
+        source = parse_source(self.options["path"])
+        data = read_classic(source.path)
+        return data, layout(data, source.fields, source.transform), source.transform
+
+    def schema(self) -> str:
+        found = self._opened()[1]
+        return ", ".join([f"{k} int" for k in found.lattice.keys] + [f"`{f}` double" for f in found.fields])
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self)
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, source: NetcdfSource):
+        self.source = source
+
+    def partitions(self) -> list[InputPartition]:
+        lattice = self.source._opened()[1].lattice
+        n = lattice.axes[0].n
+        step = max(1, int(self.source.options.get("nodes", 1 << 20)) * n // lattice.size)
+        return [InputPartition((lo, min(lo + step, n))) for lo in range(0, n, step)]
+
+    def read(self, partition: InputPartition):
+        data, found, transform = self.source._opened()
+        lo, hi = partition.value
+        # A layer at a time, in pieces along its first axis if it is large.
+        for layer in range(lo, hi):
+            values = [found.values(data, transform, f, slice(layer, layer + 1)) for f in found.fields]
+            at = np.indices(values[0].shape, np.int32).reshape(values[0].ndim, -1)
+            at[0] += layer
+            flat = [v.ravel() for v in values]
+            for first in range(0, at.shape[1], 1 << 16):
+                part = slice(first, first + (1 << 16))
+                columns = [pa.array(a[part]) for a in at] + [pa.array(v[part], mask=np.isnan(v[part])) for v in flat]
+                yield pa.RecordBatch.from_arrays(columns, names=[*found.lattice.keys, *found.fields])
+
+
+def read_grid(spark: SparkSession, source: str, nodes: int = 1 << 20):
+    """A GridFrame from path?fields+modifiers, with about `nodes` nodes in a partition."""
     from ..plans.gridframe import GridFrame
 
     s = parse_source(source)
-    lattice, arrays, units = open_fields(read_classic(s.path), s.fields, s.transform)
-    return GridFrame(from_arrays(spark, lattice, arrays), lattice, tuple(arrays), units)
+    found = layout(read_classic(s.path), s.fields, s.transform)
+    spark.dataSource.register(NetcdfSource)
+    df = spark.read.format("netcdf_classic").option("path", source).option("nodes", str(nodes)).load()
+    return GridFrame(df, found.lattice, found.fields, found.units)
 
 
 def from_arrays(spark: SparkSession, lattice: Lattice, arrays: dict[str, np.ndarray]) -> DataFrame:
@@ -242,23 +323,45 @@ def from_arrays(spark: SparkSession, lattice: Lattice, arrays: dict[str, np.ndar
 
 
 def write_grid(frame, path: str, float32: bool = True, extra: dict[str, Variable] | None = None) -> None:
-    """A GridFrame as a classic file: axes as doubles, fields as floats with NaN for null. Rows come partition by partition."""
-    lattice = frame.lattice
-    arrays = {f: np.full([a.n for a in lattice.axes], np.nan) for f in frame.fields}
-    for row in frame.df.select(*lattice.keys, *frame.fields).toLocalIterator():
-        at = tuple(row[k] for k in lattice.keys)
-        for f in frame.fields:
-            if row[f] is not None:
-                arrays[f][at] = row[f]
+    """A GridFrame as a classic file: axes as doubles, fields as floats with NaN for null.
+
+    Rows come sorted by the slowest axis, partition by partition; one layer of each field is held at a time.
+    """
+    lattice, dtype = frame.lattice, ">f4" if float32 else ">f8"
+    shape, keys = [a.n for a in lattice.axes], lattice.keys
     data = Dataset({a.name: a.n for a in lattice.axes}, {}, {"Conventions": "CF-1.8", **frame.attributes})
     for a in lattice.axes:
         attrs = {"axis": a.name.upper()} | ({"units": a.unit} if a.unit else {})
         data.variables[a.name] = Variable(a.name, (a.name,), attrs, ">f8", np.array(a.values()))
-    for f, v in arrays.items():
-        attrs = {"units": frame.units[f]} if f in frame.units else {}
-        data.variables[f] = Variable(f, tuple(a.name for a in lattice.axes), attrs, ">f4" if float32 else ">f8", v)
     # Variables of the source that stay as they are, where all their dimensions are still there.
-    for n, v in (extra or {}).items():
-        if n not in data.variables and all(data.dims.get(d) == s for d, s in zip(v.dims, v.data.shape, strict=True)):
-            data.variables[n] = v
-    write_classic(data, path)
+    more = {n: v for n, v in (extra or {}).items() if n not in data.variables and n not in frame.fields and all(data.dims.get(d) == s for d, s in zip(v.dims, v.data.shape, strict=True))}
+    data.variables |= more
+    for f in frame.fields:
+        attrs = {"units": frame.units[f]} if f in frame.units else {}
+        data.variables[f] = Variable(f, tuple(a.name for a in lattice.axes), attrs, dtype, np.broadcast_to(np.float32(0), shape))
+    head, begins = _header(data)
+    begin = dict(zip(data.variables, begins, strict=False))
+    size = math.prod(shape[1:]) * np.dtype(dtype).itemsize
+    with open(path, "wb") as out:
+        out.write(head)
+        for name, v in data.variables.items():
+            if name not in frame.fields:
+                out.seek(begin[name])
+                out.write(v.data.astype(v.dtype).tobytes())
+        out.truncate(begins[-1])
+
+        def put(layer: int, arrays: list[np.ndarray]) -> None:
+            for f, a in zip(frame.fields, arrays, strict=True):
+                out.seek(begin[f] + layer * size)
+                out.write(a.astype(dtype).tobytes())
+
+        empty = lambda: [np.full(shape[1:], np.nan) for _ in frame.fields]
+        at, arrays = 0, empty()
+        for row in frame.df.select(*keys, *frame.fields).repartitionByRange(keys[0]).sortWithinPartitions(keys[0]).toLocalIterator():
+            while at < row[0]:
+                put(at, arrays)
+                at, arrays = at + 1, empty()
+            for a, v in zip(arrays, row[len(keys) :], strict=True):
+                a[tuple(row[1 : len(keys)])] = np.nan if v is None else v
+        for layer in range(at, shape[0]):
+            put(layer, arrays if layer == at else empty())

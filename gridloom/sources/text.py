@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.transforms import number
 from ..operators.supports import Taper
@@ -34,12 +35,20 @@ def read_table(spark: SparkSession, path: str, names: list[str] | None = None, s
         return F.when(v != F.lit(float(sentinel)), v) if sentinel is not None else v
 
     df = parts.select(value(0).alias("x"), *[value(i + 1).alias(f) for i, f in enumerate(names)])
-    bad = df.agg(F.count_if(F.col("x").isNull()).alias("missing"), F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("d")).first()
-    if bad["missing"] or bad["n"] != bad["d"]:
-        raise ValueError("coordinates must be finite and different")
+    _check_increasing(df)
     return df
 
 
+def _check_increasing(df: DataFrame) -> None:
+    """Within each partition of the scan by its own rows; then the partitions' ends, which are as few as the partitions."""
+    placed = df.select("x", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("x").over(Window.partitionBy("part").orderBy("at"))
+    placed = placed.withColumn("bad", F.col("x").isNull() | F.coalesce(before >= F.col("x"), F.lit(False)))
+    ends = placed.groupBy("part").agg(F.min_by("x", "at").alias("first"), F.max_by("x", "at").alias("last"), F.max("bad").alias("bad")).orderBy("part").collect()
+    if any(e["bad"] for e in ends) or any(a["last"] >= b["first"] for a, b in zip(ends, ends[1:], strict=False)):
+        raise ValueError("coordinates must be finite and increase from row to row")
+
+
 def write_table(df: DataFrame, order: str, path: str, digits: int = 12, sep: str = " ") -> None:
     """Rows in order, %.<digits>g; missing is NaN. Rows come to the driver one partition at a time."""
     with open(path, "w") as out:
@@ -49,16 +58,17 @@ def write_table(df: DataFrame, order: str, path: str, digits: int = 12, sep: str
 
 @dataclass(frozen=True)
 class Record:
-    """A line of a merge file."""
+    """A line of a merge file. In three dimensions the support is one of x and y, and levels are the ends along z."""
 
     primary: str
     secondary: str | None = None
     support: str | None = None
     tapers: tuple[Taper, ...] = (Taper(),)
+    levels: tuple[float, float] | None = None
 
 
 def read_records(lines: Iterable[str] | str, dims: int = 1) -> list[Record]:
-    """primary [secondary] [support] [window] [ratios]; - leaves a field out, # starts a comment. In order."""
+    """primary [secondary] [support] [levels, if dims is 3] [window] [ratios]; - leaves a field out, # starts a comment. In order."""
     if isinstance(lines, str):
         lines = lines.splitlines()
     records = []
@@ -66,16 +76,19 @@ def read_records(lines: Iterable[str] | str, dims: int = 1) -> list[Record]:
         parts = line.partition("#")[0].split()
         if not parts:
             continue
-        if len(parts) > 5:
+        most = 6 if dims == 3 else 5
+        if len(parts) > most:
             raise ValueError(f"too many fields: {line}")
-        primary, secondary, support, names, ratios = (p if p != "-" else None for p in parts + ["-"] * (5 - len(parts)))
+        primary, secondary, support, *levels, names, ratios = (p if p != "-" else None for p in parts + ["-"] * (most - len(parts)))
         if primary is None:
             raise ValueError("a record needs a primary source")
         shapes = [windows.canonical(n) for n in (names or "cosine").split("/")]
+        if len(shapes) == 2 and dims == 3:
+            shapes = [*shapes, shapes[0]]  # x, y and, as x, z
         if len(shapes) not in (1, dims):
             raise ValueError(f"1 or {dims} windows are needed: {names}")
         shapes = shapes * dims if len(shapes) == 1 else shapes
-        records.append(Record(primary, secondary, support, tuple(Taper(w, lo, hi) for w, (lo, hi) in zip(shapes, windows.ratios(ratios, dims), strict=True))))
+        records.append(Record(primary, secondary, support, tuple(Taper(w, lo, hi) for w, (lo, hi) in zip(shapes, windows.ratios(ratios, dims), strict=True)), interval(levels[0]) if levels and levels[0] else None))
     if not records:
         raise ValueError("no records")
     return records
