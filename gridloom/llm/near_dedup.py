@@ -3,17 +3,19 @@
 Words are those of simhash_dedup: A-Z go to lower case, split at ASCII white space. A shingle is SHINGLE words joined by
 spaces (fewer words: all of them; none: one empty shingle), held as its XXH64, so equality is that of 64-bit hashes.
 
-The join is exact, and a SimHash has no part in it: at 0.8 about 10 of 64 bits differ, which no choice of equal blocks
-can find. In an order of shingles that all sets share, two sets that are similar enough have a shingle in common among
-the first n - ceil(SIMILARITY * n) + 1 of each (prefix filter), and the smaller has at least SIMILARITY times the
-shingles of the larger (length filter). Shingles are in the order of their hashes, but those that over HOT sets have in
-their prefixes go last; any order gives the same result, this one keeps groups small.
+Candidates come from two searches, and all are verified on whole sets:
+1. The SimHash trie of simhash_dedup, over the fingerprints of the sets: near copies, a few bits apart, also in dense groups.
+2. An exact join for what is further apart: at 0.8 about 10 of 64 bits differ, beyond what a trie can search. In an order
+   of shingles that all sets share, two sets that are similar enough have a shingle in common among the first
+   n - ceil(SIMILARITY * n) + 1 of each (prefix filter), and the smaller has at least SIMILARITY times the shingles of the
+   larger (length filter). Shingles are in the order of their hashes, but those that over HOT sets have in their prefixes
+   go last; any order gives the same result, this one keeps groups small.
 
 Candidates are sieved by parities: each set has a bit for each of 2**m >= n buckets of hashes, set if it has an odd number
 of shingles there. Two sets differ in at least as many shingles as bits, so this loses none. The rest is verified on whole sets.
 
 Equal sets are one node. In each group of sets with a shingle in common, first only sets that are next to each other by
-size are compared; then all that this has not connected.
+size are compared; then all that this and the trie have not connected.
 
 A row gets the smallest id of its component. Null text is empty. Empty input gives an empty result.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, skew_safe_left_join, small
 from .components import components
-from .simhash_dedup import SEED
+from .simhash_dedup import RADIUS, SEED, _majority, links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -71,14 +73,15 @@ def fewest_different(x: bytes, y: bytes) -> int:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """doc_id, p (hash of the set), n, odd (its parities), hs (bytes of the sorted hashes)."""
+    """doc_id, p (hash of the set), n, f (its SimHash), odd (its parities), hs (bytes of the sorted hashes)."""
 
-    @F.pandas_udf("struct<p:bigint,n:bigint,odd:binary,hs:binary>")
+    @F.pandas_udf("struct<p:bigint,n:bigint,f:bigint,odd:binary,hs:binary>")
     def sets(texts: pd.Series) -> pd.DataFrame:
         found = [shingle_set(t, k) for t in texts]
         raw = [s.tobytes() for s in found]
         p = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64).view(np.int64)
-        return pd.DataFrame({"p": p, "n": np.array([len(s) for s in found], np.int64), "odd": [parities(s) for s in found], "hs": raw})
+        f = np.array([_majority(s.astype(">u8")) for s in found], np.uint64).view(np.int64)
+        return pd.DataFrame({"p": p, "n": np.array([len(s) for s in found], np.int64), "f": f, "odd": [parities(s) for s in found], "hs": raw})
 
     return docs.select(F.col(id_col).alias("doc_id"), sets(F.col(text_col)).alias("s")).select("doc_id", "s.*")
 
@@ -199,8 +202,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialize(_where(_with_sets(pairs, sets, ["hs"]), is_similar), "similar-pairs")
 
 
+def trie_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs a, b of sets whose SimHashes the trie connects, each with the first set of a fingerprint."""
+    own = materialize(sets.select("p", "f").distinct(), "set-prints")
+    first = materialize(own.groupBy("f").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("c")), "print-firsts")
+    same = skew_safe_left_join(own, first, ["f"], "c", own.count()).where("p <> first").select(F.least("p", "first").alias("a"), F.greatest("p", "first").alias("b"))
+    of = lambda c: first.select(F.col("f").alias(c), F.col("first").alias(f"{c}_first"))
+    near = links(first.select(F.col("f").alias("p")), radius).join(of("a"), "a").join(of("b"), "b")
+    return same.union(near.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b")))
+
+
 def similar_pairs(sets: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """sets: p, hs. Pairs a, b of similar sets that connect all that similar pairs connect."""
+    """sets: p, f, hs. Pairs a, b of similar sets that connect all that similar pairs connect."""
     late = np.zeros(0, np.uint64)
     for left in range(_ROUNDS, -1, -1):
         shared = materialize(_grouped(_prefixes(sets, similarity, late), _shared, "h bigint, n bigint, p bigint, c bigint"), "shared")
@@ -212,7 +225,8 @@ def similar_pairs(sets: DataFrame, similarity: float = SIMILARITY, hot: int = HO
             break
         late = np.union1d(late, more)
     rows = shared.select("h", "n", "p")
-    near = _verified(_grouped(rows.withColumn("r", F.col("p")), _pairs(similarity, True), "a bigint, b bigint"), sets, similarity)
+    beside = _grouped(rows.withColumn("r", F.col("p")), _pairs(similarity, True), "a bigint, b bigint")
+    near = _verified(trie_pairs(sets).union(beside), sets, similarity)
     roots = materialize(components(near), "roots").withColumnRenamed("root", "r")
     rooted = rows.join(small(roots.withColumnRenamed("node", "p")), "p", "left").select("h", "n", "p", F.coalesce("r", "p").alias("r"))
     return near.union(_verified(_grouped(rooted, _pairs(similarity, False), "a bigint, b bigint"), sets, similarity))

@@ -53,6 +53,15 @@ def test_all_similar_pairs_are_linked(spark, near, hot):
     assert sorted(((r["doc_id"], r["component_id"]) for r in found), key=str) == sorted(slow_components(near), key=str)
 
 
+def test_the_trie_finds_near_copies(spark, near):
+    """What the SimHash trie gives the stage: near copies are among its pairs, before the exact join."""
+    rows = [(5000 + i, " ".join(prose(34, 12)) + f" end {i}") for i in range(30)]
+    sets = near_dedup._sets(frame(spark, rows), "doc_id", "text", 5)
+    pairs = near_dedup.trie_pairs(sets).collect()
+    found = {x for r in pairs for x in r}
+    assert len(found) >= 20 and {r["p"] for r in sets.select("p").collect()} >= found
+
+
 def test_stage_keeps_one_of_each_component(spark, near, tmp_path):
     rows = [(i, t) for i, (_, t) in enumerate(near)]
     want = sorted(d for d, least in slow_components(rows) if d == least)
