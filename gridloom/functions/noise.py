@@ -13,15 +13,36 @@ GOLDEN = 0x9E3779B97F4A7C15
 FNV_OFFSET, FNV_PRIME = 1469598103934665603, 1099511628211
 
 
+def _step(x: np.ndarray) -> np.ndarray:
+    x = x ^ x >> np.uint64(12)
+    x = x ^ x << np.uint64(25)
+    return x ^ x >> np.uint64(27)
+
+
+def _times(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A matrix over bits, given by what it makes of each single bit, times states."""
+    out = np.zeros_like(x)
+    for bit in range(64):
+        out ^= np.where(x >> np.uint64(bit) & np.uint64(1), matrix[bit], np.uint64(0))
+    return out
+
+
 def raw(seed: int, n: int) -> np.ndarray:
-    x = seed & MASK or GOLDEN
-    out = [0] * n
-    for i in range(n):
-        x ^= x >> 12
-        x = (x ^ x << 25) & MASK
-        x ^= x >> 27
-        out[i] = x * MULTIPLIER & MASK
-    return np.array(out, np.uint64)
+    """The first n numbers. A step is linear over bits, so the states at the starts of blocks are jumped to, and all blocks step together."""
+    length = max(1, math.isqrt(n))
+    jump, power, left = None, _step(np.uint64(1) << np.arange(64, dtype=np.uint64)), length
+    while left:
+        if left & 1:
+            jump = power if jump is None else _times(power, jump)
+        power, left = _times(power, power), left >> 1
+    starts = np.array([seed & MASK or GOLDEN], np.uint64)
+    while len(starts) * length < n:
+        starts, jump = np.concatenate([starts, _times(jump, starts)]), _times(jump, jump)
+    out = np.empty((length, len(starts)), np.uint64)
+    for i in range(length):
+        starts = _step(starts)
+        out[i] = starts
+    return out.T.ravel()[:n] * np.uint64(MULTIPLIER)
 
 
 def gaussians(seed: int, n: int) -> np.ndarray:

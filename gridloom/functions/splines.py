@@ -93,16 +93,37 @@ def _tridiagonal(low, mid, up, rhs):
 
 def smoothing(x: np.ndarray, v: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
     """Reinsch: values and second derivatives of the spline that minimises squared misfit plus p times squared curvature."""
-    n, h = len(x), np.diff(x)
-    q = np.zeros((n, n - 2))
-    r = np.zeros((n - 2, n - 2))
-    for i in range(n - 2):
-        q[i, i], q[i + 1, i], q[i + 2, i] = 1 / h[i], -1 / h[i] - 1 / h[i + 1], 1 / h[i + 1]
-        r[i, i] = (h[i] + h[i + 1]) / 3
-        if i + 1 < n - 2:
-            r[i, i + 1] = r[i + 1, i] = h[i + 1] / 6
-    inner = np.linalg.solve(r + p * q.T @ q, q.T @ v)
-    return v - p * q @ inner, np.concatenate([[0.0], inner, [0.0]])
+    h = np.diff(x)
+    m = len(x) - 2
+    if m < 1:
+        return v.astype(float), np.zeros(len(x))
+    left, right = 1 / h[:-1], 1 / h[1:]
+    mid = -left - right
+    diagonal = (h[:-1] + h[1:]) / 3 + p * (left**2 + mid**2 + right**2)
+    one = h[1:-1] / 6 + p * (mid[:-1] * left[1:] + right[:-1] * mid[1:])
+    two = p * right[:-2] * left[2:]
+    inner = _five_bands(diagonal, one, two, left * v[:-2] + mid * v[1:-1] + right * v[2:])
+    out = v.astype(float).copy()
+    out[:-2] -= p * left * inner
+    out[1:-1] -= p * mid * inner
+    out[2:] -= p * right * inner
+    return out, np.concatenate([[0.0], inner, [0.0]])
+
+
+def _five_bands(diagonal, one, two, right) -> np.ndarray:
+    """The solution of a positive definite system with two bands on each side of its diagonal."""
+    n = len(diagonal)
+    d, l1, l2, y = np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2)
+    one, two = np.append(one, [0.0, 0.0]), np.append(two, [0.0, 0.0, 0.0])
+    for i in range(n):  # places -1 and -2 are the zeros at the end
+        d[i] = diagonal[i] - d[i - 1] * l1[i - 1] ** 2 - d[i - 2] * l2[i - 2] ** 2
+        l1[i] = (one[i] - d[i - 1] * l1[i - 1] * l2[i - 1]) / d[i]
+        l2[i] = two[i] / d[i]
+        y[i] = right[i] - l1[i - 1] * y[i - 1] - l2[i - 2] * y[i - 2]
+    out = np.zeros(n + 2)
+    for i in range(n - 1, -1, -1):
+        out[i] = y[i] / d[i] - l1[i] * out[i + 1] - l2[i] * out[i + 2]
+    return out[:n]
 
 
 def _cubic_weights(t: np.ndarray) -> np.ndarray:

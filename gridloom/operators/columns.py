@@ -139,15 +139,21 @@ def transform_columns(cube: DataFrame, columns: DataFrame, fields: dict[str, Fil
     """
     nodes = columns.where("old IS NOT NULL AND cls IS NOT NULL").withColumn("iz", F.explode(F.sequence(F.lit(0), F.lit(target.n - 1))))
     nodes = nodes.withColumn("z", target.coordinate(F.col("iz"))).withColumn("from", source_depth(operation, method))
-    out = nodes
-    for f, fill in fields.items():
-        seg = pieces(cube, COLUMN, "z", f, bridge, "iz" if "iz" in cube.columns else None).select(*COLUMN, "x0", "v0", "x1", "v1")
-        near = 32 * EPS * F.greatest(F.lit(1.0), F.abs("from"))
-        hit = (F.col("from") >= F.col("x0") - near) & (F.col("from") <= F.col("x1") + near)
-        value = F.when(F.col("x1") > F.col("x0"), F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("from") - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(F.col("v0"))
-        at = nodes.select(*COLUMN, "iz", "from").where("from IS NOT NULL").join(seg, COLUMN).where(hit)
-        at = at.groupBy(*COLUMN, "iz").agg(F.min(value).alias(f"__{f}"))
-        out = out.join(at, [*COLUMN, "iz"], "left")
+    near = lambda c: 32 * EPS * F.greatest(F.lit(1.0), F.abs(c))
+    # Nodes and the starts of segments in one order along each column: the segment of a node is the last one before it.
+    every = nodes.select(*COLUMN, F.col("from").alias("at"), F.lit(-1).alias("k"), F.struct("iz", "z", "from", "old", "new", "cls", "modify").alias("node"), F.lit(None).cast("struct<x0:double,v0:double,x1:double,v1:double>").alias("seg"))
+    kind = every.schema["node"].dataType
+    for k, f in enumerate(fields):
+        seg = pieces(cube, COLUMN, "z", f, bridge, "iz" if "iz" in cube.columns else None)
+        every = every.union(seg.select(*COLUMN, F.col("x0") - near("x0"), F.lit(k), F.lit(None).cast(kind), F.struct("x0", "v0", "x1", "v1")))
+    order = Window.partitionBy(*COLUMN).orderBy("at", F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    for k, f in enumerate(fields):
+        every = every.withColumn(f"__s{k}", F.last(F.when(F.col("k") == k, F.col("seg")), ignorenulls=True).over(order))
+    out = every.where("k = -1").select(*COLUMN, "node.*", *[f"__s{k}" for k in range(len(fields))])
+    for k, f in enumerate(fields):
+        x0, v0, x1, v1 = (F.col(f"__s{k}.{c}") for c in ("x0", "v0", "x1", "v1"))
+        value = F.when(x1 > x0, v0 + (v1 - v0) * (F.col("from") - x0) / (x1 - x0)).otherwise(v0)
+        out = out.withColumn(f"__{f}", F.when(F.col("from") <= x1 + near("from"), value))
     cols = []
     for f, fill in fields.items():
         v, z, new = F.col(f"__{f}"), F.col("z"), F.col("new")

@@ -15,56 +15,89 @@ METHODS = ("n", "l", "a", "s", "m")
 def label_holes(z: np.ndarray, most: int | None = None) -> np.ndarray:
     """0 where there is a value or the hole isn't eligible, else the number of the hole. most: largest span of nodes in x and in y."""
     missing = ~np.isfinite(z)
-    label, n = np.zeros(z.shape, np.int64), 0
-    for start in zip(*np.nonzero(missing), strict=True):
-        if label[start]:
-            continue
-        n += 1
-        label[start], todo, members = n, [start], []
-        while todo:
-            i, j = todo.pop()
-            members.append((i, j))
-            for a in range(max(i - 1, 0), min(i + 2, z.shape[0])):
-                for b in range(max(j - 1, 0), min(j + 2, z.shape[1])):
-                    if missing[a, b] and not label[a, b]:
-                        label[a, b] = n
-                        todo.append((a, b))
-        ij = np.array(members)
-        lo, hi = ij.min(0), ij.max(0)
-        edge = lo.min() == 0 or hi[0] == z.shape[0] - 1 or hi[1] == z.shape[1] - 1
-        if edge or most is not None and (hi - lo + 1).max() > most:
-            label[ij[:, 0], ij[:, 1]] = -n
-    return np.maximum(label, 0)
+    number = np.cumsum(missing.ravel()).reshape(z.shape) - 1
+    i, j = np.nonzero(missing)
+    if not len(i):
+        return np.zeros(z.shape, np.int64)
+    ends = []
+    for di, dj in ((0, 1), (1, 0), (1, 1), (1, -1)):
+        a, b = i + di, j + dj
+        ok = (a < z.shape[0]) & (b >= 0) & (b < z.shape[1])
+        ok[ok] = missing[a[ok], b[ok]]
+        ends.append(np.stack([np.flatnonzero(ok), number[a[ok], b[ok]]]))
+    root = _roots(len(i), *np.concatenate(ends, axis=1))
+    first, of = np.unique(root, return_inverse=True)
+    lo, hi = np.full((2, len(first)), max(z.shape)), np.full((2, len(first)), -1)
+    for d, at in enumerate((i, j)):
+        np.minimum.at(lo[d], of, at)
+        np.maximum.at(hi[d], of, at)
+    out = (lo.min(0) == 0) | (hi[0] == z.shape[0] - 1) | (hi[1] == z.shape[1] - 1)
+    if most is not None:
+        out |= (hi - lo + 1).max(0) > most
+    label = np.zeros(z.shape, np.int64)
+    label[i, j] = np.where(out, 0, np.arange(1, len(first) + 1))[of]
+    return label
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0 .. n-1 is connected with, by edges a, b."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return root
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _grown(mask: np.ndarray) -> np.ndarray:
+    """The nodes of a mask and their eight neighbours."""
+    wide = np.pad(mask, 1)
+    return np.any([wide[a : a + mask.shape[0], b : b + mask.shape[1]] for a in range(3) for b in range(3)], axis=0)
 
 
 def fill_plane(z: np.ndarray, dy: float, dx: float, method: str = "l", arg: float | None = None, most: int | None = None, sectors: int = 4) -> np.ndarray:
-    """n nearest (arg: radius), l linear, a local average (arg: radius), s spline, m minimum curvature (arg: tension)."""
+    """n nearest (arg: radius), l linear, a local average (arg: radius), s spline, m minimum curvature (arg: tension).
+
+    A hole is filled from the part of the plane around it that its method can reach.
+    """
     label = label_holes(z, most)
     out = z.copy()
-    if not label.any():
+    holes = [k for k in np.unique(label) if k]
+    if not holes:
         return out
-    gi, gj = np.nonzero(np.isfinite(z))
-    y, x, v = gi * dy, gj * dx, z[gi, gj]
-    for k in range(1, label.max() + 1):
-        hi, hj = np.nonzero(label == k)
-        if not len(hi):
-            continue
-        ty, tx = hi * dy, hj * dx
+    radius = (arg or 3.0) * max(dy, dx)
+    ring = {"a": max(int(np.ceil(radius / min(dy, dx))), 1), "m": max(z.shape)}.get(method, 3)
+    gi, gj = np.nonzero(label)
+    order = np.argsort(label[gi, gj], kind="stable")
+    gi, gj = gi[order], gj[order]
+    ends = np.searchsorted(label[gi, gj], holes, "left").tolist() + [len(gi)]
+    for k, at, to in zip(holes, ends, ends[1:], strict=False):
+        i0, j0 = max(gi[at:to].min() - ring, 0), max(gj[at:to].min() - ring, 0)
+        box = slice(i0, gi[at:to].max() + ring + 1), slice(j0, gj[at:to].max() + ring + 1)
+        part, hole = z[box], label[box] == k
+        hi, hj = np.nonzero(hole)
         if method == "s":
-            got = _green(hi, hj, z, label == k, dy, dx, arg or 0.0)
+            got = _green(hi, hj, part, hole, dy, dx, arg or 0.0)
         elif method == "m":
-            got = _relaxed(z, label == k, dy, dx, arg or 0.0)[hi, hj]
+            got = _relaxed(part, hole, dy, dx, arg or 0.0)[hi, hj]
+        elif method == "l":
+            got = _linear(hi, hj, part, hole, dy, dx)
         else:
-            d2 = (ty[:, None] - y) ** 2 + (tx[:, None] - x) ** 2
+            # The nearest value is always beside the hole: a straight way to any other one passes there.
+            vi, vj = np.nonzero(np.isfinite(part) & (_grown(hole) if method == "n" else True))
+            v, ay, ax = part[vi, vj], (hi * dy)[:, None] - vi * dy, (hj * dx)[:, None] - vj * dx
+            d2 = ay**2 + ax**2
             if method == "n":
                 near = d2.argmin(1)
                 got = np.where(arg is None or np.sqrt(d2[np.arange(len(near)), near]) <= (arg or np.inf), v[near], np.nan)
-            elif method == "a":
-                got = _local_average(d2, ty[:, None] - y, tx[:, None] - x, v, (arg or 3.0) * max(dy, dx), sectors)
             else:
-                got = _linear(hi, hj, z, label == k, dy, dx)
+                got = _local_average(d2, ay, ax, v, radius, sectors)
         ok = np.isfinite(got)
-        out[hi[ok], hj[ok]] = got[ok]
+        out[hi[ok] + i0, hj[ok] + j0] = got[ok]
     return out
 
 
@@ -85,11 +118,7 @@ def _local_average(d2, ay, ax, v, radius, sectors):
 
 def _linear(hi, hj, z, hole, dy, dx):
     """Planes over the Delaunay triangles of the values around the hole (Bowyer-Watson)."""
-    grown = np.zeros_like(hole)
-    for a in (-1, 0, 1):
-        for b in (-1, 0, 1):
-            grown |= np.roll(np.roll(hole, a, 0), b, 1)
-    ri, rj = np.nonzero(grown & np.isfinite(z))
+    ri, rj = np.nonzero(_grown(hole) & np.isfinite(z))
     points = np.column_stack([ri * dy, rj * dx])
     values = z[ri, rj]
     out = np.full(len(hi), np.nan)
@@ -142,8 +171,7 @@ def _green(hi, hj, z, hole, dy, dx, tension: float, ring: int = 3):
     i0, i1, j0, j1 = max(hi.min() - ring, 0), min(hi.max() + ring + 1, z.shape[0]), max(hj.min() - ring, 0), min(hj.max() + ring + 1, z.shape[1])
     near = hole[i0:i1, j0:j1]
     for _ in range(ring):
-        wide = np.pad(near, 1)
-        near = np.any([wide[a : a + near.shape[0], b : b + near.shape[1]] for a in range(3) for b in range(3)], axis=0)
+        near = _grown(near)
     ri, rj = np.nonzero(near & np.isfinite(z[i0:i1, j0:j1]))
     unit = (dy + dx) / 2
     known, wanted = np.column_stack([(ri + i0) * dy, (rj + j0) * dx]) / unit, np.column_stack([hi * dy, hj * dx]) / unit

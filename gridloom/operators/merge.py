@@ -83,37 +83,36 @@ def aggregate(rows: DataFrame, keys: list[str], fields: list[str], pair_fill: bo
     The owner is the first record that covers; in the cube dialect an unpaired record without a value is passed over.
     """
     by_node = Window.partitionBy(*keys)
-    frames = []
-    for f in fields:
-        p, s = F.col(f"p_{f}"), F.col(f"s_{f}")
-        can_own = F.col("pair") | p.isNotNull() if dialect == "cube" else F.lit(True)
-        owner = F.min(F.when(can_own, F.struct("rec", "pair", "sec"))).over(by_node)
-        own = rows.withColumn("__own", owner).where(F.col("rec") >= F.col("__own.rec"))
-        w = F.coalesce("w", F.lit(0.0))
-        shares = F.col("__own.pair") & F.col("pair") & (F.col("sec") == F.col("__own.sec")) & (F.col("prim") != F.col("__own.sec"))
-        shares = F.coalesce(shares, F.lit(False))
-        sums = {
-            "g": F.sum(F.when(shares & (w > 0), w)),
-            "gv": F.sum(F.when(shares & (w > 0) & p.isNotNull(), w)),
-            "v": F.sum(F.when(shares & (w > 0) & p.isNotNull(), w * p)),
-            "gs": F.sum(F.when(shares & (w > 0) & p.isNull() & s.isNotNull(), w)) if pair_fill else F.lit(0.0),
-            "vs": F.sum(F.when(shares & (w > 0) & p.isNull() & s.isNotNull(), w * s)) if pair_fill else F.lit(0.0),
-            "bg": F.min_by(s, F.when(shares & s.isNotNull(), F.col("rec"))),
-            "first": F.min_by(p, F.when(p.isNotNull() & (shares | ~F.col("__own.pair")), F.col("rec"))),
-            "paired": F.max("__own.pair"),
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    w, sums, values = zero(F.col("w")), {}, {}
+    # One window by node finds the owners for all fields, and one aggregate of the same rows adds them all up.
+    owners = {}
+    for k, f in enumerate(fields):
+        can_own = F.col("pair") | F.col(f"p_{f}").isNotNull() if dialect == "cube" else F.lit(True)
+        owners[f"__own{k}"] = F.min(F.when(can_own, F.struct("rec", "pair", "sec"))).over(by_node)
+    rows = rows.withColumns(owners)
+    for k, f in enumerate(fields):
+        p, s, own = F.col(f"p_{f}"), F.col(f"s_{f}"), F.col(f"__own{k}")
+        after = F.coalesce(F.col("rec") >= own["rec"], F.lit(False))
+        shares = after & F.coalesce(own["pair"] & F.col("pair") & (F.col("sec") == own["sec"]) & (F.col("prim") != own["sec"]), F.lit(False))
+        sums |= {
+            f"g{k}": F.sum(F.when(shares & (w > 0), w)),
+            f"gv{k}": F.sum(F.when(shares & (w > 0) & p.isNotNull(), w)),
+            f"v{k}": F.sum(F.when(shares & (w > 0) & p.isNotNull(), w * p)),
+            f"gs{k}": F.sum(F.when(shares & (w > 0) & p.isNull() & s.isNotNull(), w)) if pair_fill else F.max(F.lit(0.0)),
+            f"vs{k}": F.sum(F.when(shares & (w > 0) & p.isNull() & s.isNotNull(), w * s)) if pair_fill else F.max(F.lit(0.0)),
+            f"bg{k}": F.min_by(s, F.when(shares & s.isNotNull(), F.col("rec"))),
+            f"first{k}": F.min_by(p, F.when(after & p.isNotNull() & (shares | ~own["pair"]), F.col("rec"))),
+            f"paired{k}": F.max(F.when(after, own["pair"])),
         }
-        got = own.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
-        zero = lambda c: F.coalesce(c, F.lit(0.0))
-        bw = F.when(F.col("bg").isNotNull(), F.greatest(F.lit(0.0), 1 - zero(F.col("g")))).otherwise(0.0)
-        below = zero(F.col("gv")) + zero(F.col("gs")) + bw
-        mixed = (zero(F.col("v")) + zero(F.col("vs")) + bw * zero(F.col("bg"))) / F.when(below > 0, below)
-        any_p = F.col("first").isNotNull()
-        value = F.when(F.col("paired") & (below > 0) & (any_p | F.lit(pair_fill)), mixed).otherwise(F.col("first"))
-        frames.append(got.select(*keys, value.alias(f)))
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.join(more, keys, "full")
-    return out
+        g, gv, v, gs, vs, bg, first, paired = (F.col(f"{n}{k}") for n in ("g", "gv", "v", "gs", "vs", "bg", "first", "paired"))
+        bw = F.when(bg.isNotNull(), F.greatest(F.lit(0.0), 1 - zero(g))).otherwise(0.0)
+        below = zero(gv) + zero(gs) + bw
+        mixed = (zero(v) + zero(vs) + bw * zero(bg)) / F.when(below > 0, below)
+        values[f] = F.when(paired & (below > 0) & (first.isNotNull() | F.lit(pair_fill)), mixed).otherwise(first)
+    got = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
+    got = got.where(F.coalesce(*[F.col(f"paired{k}") for k in range(len(fields))]).isNotNull())  # some record owns the node
+    return got.select(*keys, *[c.alias(f) for f, c in values.items()])
 
 
 def report_weight(rows: DataFrame, keys: list[str], aggregated: bool = False, dialect: str = "series") -> DataFrame:

@@ -146,6 +146,20 @@ def test_perturbation(spark):
         supports.perturbation_support(lattice, {"x": (-2.0, 3.0)})
 
 
+def test_fields_are_aggregated_together_as_alone(spark):
+    from gridloom.operators import merge
+
+    rng = np.random.default_rng(7)
+    num = lambda: None if rng.random() < 0.3 else float(rng.integers(1, 9))
+    rows = [(rec, ix, num(), num(), num(), num(), float(rng.random()) if rng.random() < 0.8 else None, rec % 3 != 2, f"p{rec}", "s" if rec % 3 != 2 else None) for rec in range(6) for ix in range(30) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "rec int, ix int, p_a double, s_a double, p_b double, s_b double, w double, pair boolean, prim string, sec string")
+    for dialect in ("series", "cube"):
+        both = {r["ix"]: r for r in merge.aggregate(df, ["ix"], ["a", "b"], True, dialect).collect()}
+        for f in "ab":
+            alone = {r["ix"]: r[f] for r in merge.aggregate(df, ["ix"], [f], True, dialect).collect()}
+            assert alone and all(both[k][f] == v for k, v in alone.items())
+
+
 # Kernels on curved data
 
 
@@ -164,6 +178,33 @@ def test_fills_differ_and_are_near_on_a_curved_plane():
     assert np.abs(s - m).max() > 1e-6 and np.abs(s - t).max() > 1e-4 and np.abs(t - z).max() < 0.1
 
 
+def test_labels_against_a_flood():
+    rng = np.random.default_rng(3)
+    z = np.where(rng.random((30, 40)) < 0.35, np.nan, 1.0)
+    label = holes.label_holes(z)
+    seen, groups = set(), []
+    for start in zip(*np.nonzero(np.isnan(z)), strict=True):
+        if start in seen:
+            continue
+        todo, group = [start], set()
+        while todo:
+            i, j = todo.pop()
+            if (i, j) in group or not (0 <= i < 30 and 0 <= j < 40) or np.isfinite(z[i, j]):
+                continue
+            group.add((i, j))
+            todo += [(i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        seen |= group
+        groups.append(group)
+    inside = [g for g in groups if all(0 < i < 29 and 0 < j < 39 for i, j in g)]
+    assert len(inside) > 5 and sorted(map(sorted, inside)) == sorted(sorted(zip(*(x.tolist() for x in np.nonzero(label == k)), strict=True)) for k in set(label[label > 0].tolist()))
+    # The nearest value, against all of the plane.
+    got = holes.fill_plane(z * np.arange(1200).reshape(30, 40), 1.0, 1.0, "n")
+    gi, gj = np.nonzero(np.isfinite(z))
+    for i, j in [p for g in inside for p in g]:
+        d2 = (gi - i) ** 2 + (gj - j) ** 2
+        assert got[i, j] in (gi * 40 + gj)[d2 == d2.min()]
+
+
 def test_bessel_k0():
     # Published values.
     for x, want in ((0.1, 2.4270690247), (1.0, 0.4210244382), (2.0, 0.1138938728)):
@@ -203,6 +244,34 @@ def test_natural_spline_and_akima_against_plain_versions():
     assert np.allclose(splines.sample(x, v, to, "a"), want, atol=1e-9)
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 30])
+def test_smoothing_against_the_whole_system(n):
+    rng = np.random.default_rng(n)
+    x, v, p = np.cumsum(rng.random(n) + 0.1), rng.random(n), 0.7
+    values, second = splines.smoothing(x, v, p)
+    h = np.diff(x)
+    q, r = np.zeros((n, max(n - 2, 0))), np.zeros((max(n - 2, 0),) * 2)
+    for i in range(n - 2):
+        q[i : i + 3, i] = 1 / h[i], -1 / h[i] - 1 / h[i + 1], 1 / h[i + 1]
+        r[i, i] = (h[i] + h[i + 1]) / 3
+        if i:
+            r[i, i - 1] = r[i - 1, i] = h[i] / 6
+    inner = np.linalg.solve(r + p * q.T @ q, q.T @ v)
+    assert np.allclose(second[1:-1], inner) and np.allclose(values, v - p * q @ inner)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 12345, (1 << 64) - 1])
+def test_random_numbers_one_by_one(seed):
+    x, want = seed or noise.GOLDEN, []
+    for _ in range(1000):
+        x ^= x >> 12
+        x = (x ^ x << 25) & noise.MASK
+        x ^= x >> 27
+        want.append(x * noise.MULTIPLIER & noise.MASK)
+    for n in (1, 2, 3, 17, 1000):
+        assert noise.raw(seed, n).tolist() == want[:n]
+
+
 def test_bicubic_is_near_a_smooth_field():
     z, y, x = curved(20, 22), np.arange(20.0), np.arange(22.0)
     to_y, to_x = np.linspace(3, 15, 25), np.linspace(3, 17, 31)
