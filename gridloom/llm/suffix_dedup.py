@@ -38,7 +38,7 @@ LENGTH = 100
 GRAM = 32
 _BLOCK = 1 << 20
 #: Bytes of segments that a task sorts at a time, whole keys at once.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 18
 _NULL = -(1 << 63)
 _ROW = ["doc", "row"]
 
