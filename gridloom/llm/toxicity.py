@@ -208,6 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_T
     data = rows.mapInArrow(encode, "doc_id bigint, label int, slots binary").toArrow().sort_by("doc_id")
     discard(rows)
     slots = [np.frombuffer(x.as_py(), np.int32) for x in data.column("slots")]
+    if not slots:  # no text has a label
+        return None
     weights = logistic(slots, data.column("label").to_numpy().astype(float), len(slot))
     return {w: float(weights[i]) for w, i in slot.items()}, float(weights[-1])
 
