@@ -56,7 +56,7 @@ def test_all_similar_pairs_are_linked(spark, near, hot):
 def test_the_trie_finds_near_copies(spark, near):
     """What the SimHash trie gives the stage: near copies are among its pairs, before the exact join."""
     rows = [(5000 + i, " ".join(prose(34, 12)) + f" end {i}") for i in range(30)]
-    sets = near_dedup._sets(frame(spark, rows), "doc_id", "text", 5)
+    sets = near_dedup._sets(frame(spark, rows).selectExpr("struct(doc_id) AS id", "text"))
     pairs = near_dedup.trie_pairs(sets).collect()
     found = {x for r in pairs for x in r}
     assert len(found) >= 20 and {r["p"] for r in sets.select("p").collect()} >= found
