@@ -125,7 +125,7 @@ _RECORDS = (("click", 50, 500, "view", (80, 400)), ("purchase", 300, 650, "view"
 
 
 def _rows(spark, sf_dir, window: str = "cosine", shift: float = 0.0) -> DataFrame:
-    df = hourly(spark, sf_dir).withColumn("v", _r(F.col("v") - shift)).persist()
+    df = hourly(spark, sf_dir).withColumn("v", _r(F.col("v") - shift))
     source = lambda k: df.where(F.col("kind") == k).select("ix", "v")
     placed = []
     for prim, lo, hi, sec, sup in _RECORDS:
@@ -325,7 +325,7 @@ def cube_horizontal_then_vertical(spark, sf_dir):
 
 def _cube_rows(spark, sf_dir):
     """Two records over the cube: all of it by a polygon-free box, paired with a plane of means, and the plane alone."""
-    df = cube(spark, sf_dir).persist()
+    df = cube(spark, sf_dir)
     lattice = Lattice((GZ, GY, GX))
     back = df.groupBy("iz").agg((F.floor(F.sum(F.round(F.col("v") * 100).cast("long")) / F.count("v")) / 100.0).alias("v"))
     back = lattice.nodes(spark).select(*lattice.keys).join(F.broadcast(back), "iz")

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.transforms import Transform, parse_source
 from ..plans.lattice import Axis, Lattice
+from .text import check_output
 
 # Fixed values of the format: type number to numpy type.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -322,11 +323,12 @@ def from_arrays(spark: SparkSession, lattice: Lattice, arrays: dict[str, np.ndar
     return spark.createDataFrame(rows.values.tolist(), kinds)
 
 
-def write_grid(frame, path: str, float32: bool = True, extra: dict[str, Variable] | None = None) -> None:
-    """A GridFrame as a classic file: axes as doubles, fields as floats with NaN for null.
+def write_grid(frame, path: str, float32: bool = True, extra: dict[str, Variable] | None = None, inputs: tuple[str, ...] = ()) -> None:
+    """A GridFrame as a classic file: axes as doubles, fields as floats with NaN for null. The path must not be one of the inputs.
 
     Rows come sorted by the slowest axis, partition by partition; one layer of each field is held at a time.
     """
+    check_output(path, inputs)
     lattice, dtype = frame.lattice, ">f4" if float32 else ">f8"
     shape, keys = [a.n for a in lattice.axes], lattice.keys
     data = Dataset({a.name: a.n for a in lattice.axes}, {}, {"Conventions": "CF-1.8", **frame.attributes})
