@@ -41,7 +41,7 @@ RADIUS = 3
 SEED = 42
 #: Most fingerprints in a leaf of the directory (a task holds two leaves), pairs of nodes that are taken down at a time, bits counted at a time.
 LEAF = 4_000_000
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 STEP = 12
 
 
@@ -98,8 +98,10 @@ class Trie:
     visited and leaf_pairs count the pairs of nodes and of single fingerprints that were met.
     """
 
-    def __init__(self, prints: np.ndarray, bits: int = 64):
-        self.prints, self.bits, self.forest = prints, bits, Forest(len(prints))
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.forest = prints, Forest(len(prints))
+        # All have the bits above these in common.
+        self.bits = int(prints[0] ^ prints[-1]).bit_length() if len(prints) else 0
         self.visited = self.leaf_pairs = 0
         self._note()
 

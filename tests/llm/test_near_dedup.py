@@ -47,8 +47,9 @@ def near(awkward):
     return rows
 
 
-@pytest.mark.parametrize("hot", [3, 1000])
-def test_all_similar_pairs_are_linked(spark, near, hot):
+@pytest.mark.parametrize(("hot", "pivots"), [(3, 8), (1000, 8), (1000, 1)])
+def test_all_similar_pairs_are_linked(spark, near, hot, pivots, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
     found = near_dedup.near_dedup(frame(spark, near), hot=hot).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in found), key=str) == sorted(slow_components(near), key=str)
 
