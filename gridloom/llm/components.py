@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, skew_safe_left_join
+from .common import BROADCAST_ROWS, discard, materialize, skew_safe_left_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,10 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
         size = 2 * state[0]
         both = star.union(star.select("u", "v")).toDF("x", "y")
         low = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("x", "m"))
-        # The centre of a large star is a hot key.
-        large = skew_safe_left_join(both.where("y > x"), low, ["x"], "c", size).select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        large = _joined(both.where("y > x"), low, "x", size).select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("c"))
-        small = skew_safe_left_join(large, low, ["v"], "c", size)
+        small = _joined(large, low, "v", size)
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", "m")).where("u <> v").distinct()
         old, star = star, materialize(small, "edges")
         discard(old)
@@ -33,5 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     return star.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots)
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str, size: int) -> DataFrame:
+    """left with right, which has every key of it once and at most `size` rows. The centre of a large star is a hot key."""
+    if size <= BROADCAST_ROWS // 8:
+        return left.join(F.broadcast(right), key)
+    return skew_safe_left_join(left, right, [key], "c", size)
+
+
 def _state(star: DataFrame) -> tuple:
     return tuple(star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())

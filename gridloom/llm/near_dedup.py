@@ -16,7 +16,7 @@ Candidates are sieved by parities: each set has a bit for each of 2**m >= n buck
 of shingles there. Two sets differ in at least as many shingles as bits, so this loses none. The rest is verified on whole sets.
 
 Equal sets are one node. In each group of sets with a shingle in common, first sets next to each other by size are
-compared, then each with a few of the group, twice: a number of pairs in proportion to the group, which joins up what is
+compared, then each with a few of the group: a number of pairs in proportion to the group, which joins up what is
 dense. What is not connected then is compared whole, in the task of the group, and only pairs that parities leave go out.
 
 A row gets the smallest id of its component. Null text is empty. Empty input gives an empty result.
@@ -41,7 +41,9 @@ HOT = 32
 #: Pairs that a task makes at a time; texts and sets that it holds at a time.
 _PAIRS = 1 << 18
 #: Sets of a group that each set of it is compared with, before the groups that are left are searched whole.
-PIVOTS = 8
+PIVOTS = 16
+#: Most rows of a table that is broadcast here, where many joins follow each other.
+_SMALL = 100_000
 _SLICE = 256
 
 
@@ -299,14 +301,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: fl
     def of_pairs(pairs: DataFrame) -> DataFrame:
         """p and an id of each set in the pairs."""
         nodes = materialize(pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct(), "pair-nodes")
-        return materialize(sets.join(small(nodes), "p", "left_semi").groupBy("p").agg(F.min("id").alias("id")), "pair-ids")
+        return materialize(sets.join(small(nodes, _SMALL), "p", "left_semi").groupBy("p").agg(F.min("id").alias("id")), "pair-ids")
 
     pairs = materialize(pairs.distinct(), "pairs")
     ids = of_pairs(pairs)
     parity = sets.select("p", "id", F.struct("n", "odd").alias("odd")).join(ids, ["p", "id"], "left_semi").dropDuplicates(["p"]).select("p", "odd")
     pairs = materialize(_where(_beside(pairs, parity), may_be), "sieved-pairs")
     ids = of_pairs(pairs)
-    texts = docs.join(small(ids), "id").select("p", "text")
+    texts = docs.join(small(ids, _SMALL), "id").select("p", "text")
     held = materialize(texts.mapInArrow(whole, "p bigint, hs binary").dropDuplicates(["p"]), "pair-sets")
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
@@ -342,20 +344,19 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, similarity: float = SIMILARI
 
     def rooted(rows: DataFrame) -> DataFrame:
         roots = materialize(components(near), "roots").toDF("p", "r")
-        return rows.join(small(roots), "p", "left").select("h", "n", "p", F.coalesce("r", "p").alias("r"))
+        return rows.join(small(roots, _SMALL), "p", "left").select("h", "n", "p", F.coalesce("r", "p").alias("r"))
 
     # All pairs of small groups; in large ones this joins up what is dense.
     near = near.union(_verified(_grouped(rooted(shared), _some_pairs(similarity, 0), kinds), docs, sets, similarity, k))
     large = shared.where(F.col("c") > PIVOTS + 1)
     if large.isEmpty():
         return near
-    near = near.union(_verified(_grouped(rooted(large), _some_pairs(similarity, 1), kinds), docs, sets, similarity, k))
     rest = rooted(large)
     open_ = materialize(rest.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("h"), "open-groups")
-    rest = rest.join(small(open_), "h", "left_semi")
+    rest = rest.join(small(open_, _SMALL), "h", "left_semi")
     names = materialize(rest.select("p").distinct(), "open-sets")
-    odd = materialize(sets.join(small(names), "p", "left_semi").dropDuplicates(["p"]).select("p", "odd"), "open-parities")
-    rest = rest.join(small(odd, 100_000), "p").select("h", "n", "p", "r", "odd")
+    odd = materialize(sets.join(small(names, _SMALL), "p", "left_semi").dropDuplicates(["p"]).select("p", "odd"), "open-parities")
+    rest = rest.join(small(odd, _SMALL), "p").select("h", "n", "p", "r", "odd")
     return near.union(_verified(_grouped(rest, _all_pairs(similarity), kinds), docs, sets, similarity, k))
 
 

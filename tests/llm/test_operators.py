@@ -315,7 +315,9 @@ def test_pairs_of_leaves():
     assert simhash_dedup.leaf_pairs(leaves, 1) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [1_000_000, 8])
+def test_components(spark, rows, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", rows)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 99), (99, 98), (-5, -7), (3, 3)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert found == {i: 0 for i in range(41)} | {98: 98, 99: 98, 100: 98, -5: -7, -7: -7}
