@@ -42,6 +42,8 @@ HOT = 32
 _PAIRS = 1 << 18
 #: Sets of a group that each set of it is compared with, before the groups that are left are searched whole.
 PIVOTS = 16
+#: Buckets for each shingle in the parities of sets that are searched whole: what these leave is hardly more than what is similar.
+_FINE = 8
 #: Most rows of a table that is broadcast here, where many joins follow each other.
 _SMALL = 100_000
 _SLICE = 256
@@ -63,9 +65,9 @@ def need(n, similarity: float):
     return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
-def parities(s: np.ndarray) -> bytes:
-    """A bit for each bucket of hashes: whether it has an odd number of them."""
-    size = max(8, 1 << (len(s) - 1).bit_length())
+def parities(s: np.ndarray, fine: int = 1) -> bytes:
+    """A bit for each bucket of hashes: whether it has an odd number of them. There are at least `fine` times as many buckets as hashes."""
+    size = max(8, 1 << (fine * len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -151,8 +153,8 @@ def _prefixes_again(docs: DataFrame, similarity: float, k: int, late: np.ndarray
     return docs.select("text").mapInArrow(run, "h bigint, n bigint, p bigint")
 
 
-def _grouped(rows: DataFrame, work, kinds: str) -> DataFrame:
-    """work() on whole groups of rows with the same h, the first column; rows are sorted by their columns."""
+def _grouped(rows: DataFrame, work, kinds: str, at_once: int = 1 << 18) -> DataFrame:
+    """work() on whole groups of rows with the same h, the first column, about at_once rows at a time; rows are sorted by their columns."""
     names = rows.columns
 
     def run(batches):
@@ -160,7 +162,7 @@ def _grouped(rows: DataFrame, work, kinds: str) -> DataFrame:
         for batch in batches:
             held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))])
             # A batch is done at a time, but for its last group, which may go on.
-            if sum(len(x[0]) for x in held) >= 1 << 18:
+            if sum(len(x[0]) for x in held) >= at_once:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
                 end = int(np.searchsorted(cols[0], cols[0][-1]))
                 held = [[x[end:] for x in cols]]
@@ -280,6 +282,20 @@ def _where(pairs: DataFrame, holds) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
+def _of_texts(docs: DataFrame, ids: DataFrame, made, k: int) -> DataFrame:
+    """p and hs, what is made of each set of ids (p, id), from the texts again."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), _SLICE):
+                part = batch.slice(at, _SLICE)
+                found = [(p, made(s)) for p, t in zip(part.column(0).to_pylist(), part.column(1), strict=True) if _name(s := shingle_set(t.as_py(), k)) == p]  # not another text with this id
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["p", "hs"])
+
+    ids = materialize(ids, "set-ids")
+    return docs.join(small(ids, _SMALL), "id").select("p", "text").mapInArrow(run, "p bigint, hs binary").dropDuplicates(["p"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float, k: int) -> DataFrame:
     """The pairs whose sets are similar. Whole sets are made again, from the texts of those that parities leave."""
 
@@ -291,13 +307,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: fl
         common = len(np.intersect1d(s, t, assume_unique=True))
         return common >= similarity * (len(s) + len(t) - common) - 1e-9
 
-    def whole(batches):
-        for batch in batches:
-            for at in range(0, len(batch), _SLICE):
-                part = batch.slice(at, _SLICE)
-                found = [(p, s.tobytes()) for p, t in zip(part.column(0).to_pylist(), part.column(1), strict=True) if _name(s := shingle_set(t.as_py(), k)) == p]  # not another text with this id
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["p", "hs"])
-
     def of_pairs(pairs: DataFrame) -> DataFrame:
         """p and an id of each set in the pairs."""
         nodes = materialize(pairs.select(F.col("a").alias("p")).union(pairs.select("b")).distinct(), "pair-nodes")
@@ -308,8 +317,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: fl
     parity = sets.select("p", "id", F.struct("n", "odd").alias("odd")).join(ids, ["p", "id"], "left_semi").dropDuplicates(["p"]).select("p", "odd")
     pairs = materialize(_where(_beside(pairs, parity), may_be), "sieved-pairs")
     ids = of_pairs(pairs)
-    texts = docs.join(small(ids, _SMALL), "id").select("p", "text")
-    held = materialize(texts.mapInArrow(whole, "p bigint, hs binary").dropDuplicates(["p"]), "pair-sets")
+    held = materialize(_of_texts(docs, ids, lambda s: s.tobytes(), k), "pair-sets")
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
     conf.set(name, str(_SLICE))  # a batch holds two whole sets a row
@@ -355,9 +363,10 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, similarity: float = SIMILARI
     open_ = materialize(rest.groupBy("h").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("h"), "open-groups")
     rest = rest.join(small(open_, _SMALL), "h", "left_semi")
     names = materialize(rest.select("p").distinct(), "open-sets")
-    odd = materialize(sets.join(small(names, _SMALL), "p", "left_semi").dropDuplicates(["p"]).select("p", "odd"), "open-parities")
-    rest = rest.join(small(odd, _SMALL), "p").select("h", "n", "p", "r", "odd")
-    return near.union(_verified(_grouped(rest, _all_pairs(similarity), kinds), docs, sets, similarity, k))
+    ids = sets.join(small(names, _SMALL), "p", "left_semi").groupBy("p").agg(F.min("id").alias("id"))
+    odd = materialize(_of_texts(docs, ids, lambda s: parities(s, _FINE), k), "open-parities").withColumnRenamed("hs", "odd")
+    rest = rest.join(odd, "p").select("h", "n", "p", "r", "odd")
+    return near.union(_verified(_grouped(rest, _all_pairs(similarity), kinds, 1 << 13), docs, sets, similarity, k))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
