@@ -18,7 +18,6 @@ import functools
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +29,14 @@ MAX_TRAIN = 20_000
 THRESHOLD = 0.7
 #: Standard errors by which a word's log odds differ from 0.
 MIN_TELLS = 3.0
+#: What a task holds at a time: symbols that are counted, texts, and words that are counted before they go out.
+_BLOCK = 1 << 18
+_SLICE = 128
+_WORDS = 1 << 15
 
 # Symbols of the language model: gap, a-z, any other letter.
 SIZE = 28
-_SYMBOL = np.zeros(256, np.int64)
+_SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27
@@ -67,8 +70,12 @@ def passages(text: str):
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
     data = "\n\n".join(t for t in texts if t).encode()
-    s = _SYMBOL[np.frombuffer(b"\n\n" + data + b"\n", np.uint8)]
-    return np.bincount((s[:-2] * SIZE + s[1:-1]) * SIZE + s[2:], minlength=SIZE**3)
+    every = _SYMBOL[np.frombuffer(b"\n\n" + data + b"\n", np.uint8)]
+    total = np.zeros(SIZE**3, np.int64)
+    for at in range(0, len(every) - 2, _BLOCK):  # codes take 8 bytes a symbol
+        s = every[at : at + _BLOCK + 2].astype(np.int64)
+        total += np.bincount((s[:-2] * SIZE + s[1:-1]) * SIZE + s[2:], minlength=SIZE**3)
+    return total
 
 
 class Decoder:
@@ -80,10 +87,11 @@ class Decoder:
         p1 = (one + 1) / (one.sum() + SIZE)
         p2 = (two + 10 * p1) / (two.sum(1, keepdims=True) + 10)
         self.log_p = np.log((c + 5 * p2) / (c.sum(2, keepdims=True) + 5)).tolist()
-        self._cached = functools.lru_cache(maxsize=50_000)(self._decode)
+        # Not a method of self: that would be a cycle, and a worker would keep decoders of ended tasks until it is searched for.
+        self._cached = functools.lru_cache(maxsize=50_000)(functools.partial(Decoder._decode, self.log_p))
 
     def decode(self, passage: str) -> str:
-        return self._cached(passage) if len(passage) <= 64 else self._decode(passage)
+        return self._cached(passage) if len(passage) <= 64 else self._decode(self.log_p, passage)
 
     @staticmethod
     def lattice(passage: str) -> list[list[tuple[str, float]]]:
@@ -104,9 +112,10 @@ class Decoder:
             steps.append(ways)
         return steps
 
-    def _decode(self, passage: str) -> str:
+    @staticmethod
+    def _decode(log_p: list, passage: str) -> str:
         states, back = {(0, 0): 0.0}, []
-        for ways in self.lattice(passage):
+        for ways in Decoder.lattice(passage):
             to: dict = {}
             came: dict = {}
             for (a, b), cost in states.items():
@@ -114,13 +123,13 @@ class Decoder:
                     x, y, total = a, b, cost + more
                     for c in letters:
                         s = ord(c) - 96
-                        total -= self.log_p[x][y][s]
+                        total -= log_p[x][y][s]
                         x, y = y, s
                     if (x, y) not in to or total < to[x, y]:
                         to[x, y], came[x, y] = total, ((a, b), letters)
             states = to
             back.append(came)
-        _, at = min((cost - self.log_p[a][b][0], (a, b)) for (a, b), cost in states.items())
+        _, at = min((cost - log_p[a][b][0], (a, b)) for (a, b), cost in states.items())
         found = []
         for came in reversed(back):
             at, letters = came[at]
@@ -135,15 +144,24 @@ class Decoder:
         return "".join([*out, text[done:]])
 
 
-def features(text: str | None, decoder: Decoder) -> set[bytes]:
-    """The words of a text, as written and as restored, and their beginnings of 4, 5 and 6 bytes (marked by a dot)."""
+def both_words(text: str | None, decoder: Decoder) -> set[bytes]:
+    """The words of a text, as written and as restored."""
     if not text:
         return set()
     found = set(words_of(text))
     low = text.lower()
     for a, b in passages(low):
         found.update(words_of(decoder.decode(low[a:b])))
-    return found | {b"." + w[:n] for n in (4, 5, 6) for w in found if len(w) > n}
+    return found
+
+
+def with_beginnings(words: set[bytes]) -> set[bytes]:
+    """Words and their beginnings of 4, 5 and 6 bytes (marked by a dot)."""
+    return words | {b"." + w[:n] for n in (4, 5, 6) for w in words if len(w) > n}
+
+
+def features(text: str | None, decoder: Decoder) -> set[bytes]:
+    return with_beginnings(both_words(text, decoder))
 
 
 def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -152,9 +170,8 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 200):
-                total += trigram_counts(texts[i : i + 200])
+            for i in range(0, len(batch), _SLICE):
+                total += trigram_counts(batch.column(0).slice(i, _SLICE).to_pylist())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
@@ -168,6 +185,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def word_counts(rows):
+    """Batches of word, pos, neg: in how many of rows (label, words as an Arrow scalar) it is, by label. A word may come in several batches."""
+    counts: dict[bytes, list[int]] = {}
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *(pa.array([n[side] for n in counts.values()], pa.int64()) for side in (1, 0))], names=["word", "pos", "neg"])
+
+    for label, words in rows:
+        for w in with_beginnings(set(words.as_py().split())):
+            counts.setdefault(w, [0, 0])[label] += 1
+        if len(counts) >= _WORDS:
+            yield batch()
+            counts = {}
+    if counts:
+        yield batch()
+
+
 def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_TRAIN) -> tuple[dict[bytes, float], float] | None:
     """Weights of words, and the intercept. docs: doc_id, text; labels: doc_id, label. decoder_of() gives the decoder on an executor."""
     usable = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -181,19 +215,25 @@ def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_T
     spark = docs.sparkSession
     picked = spark.createDataFrame([(d, s) for s, ids in enumerate(sides) for d in ids], "doc_id long, label int")
 
+    # Only words are kept, joined by spaces (which no word has): features are several times the text, so they are made one text at a time.
     def words(batches):
         decoder = decoder_of()
         for batch in batches:
-            found = [sorted(features(t, decoder)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "label", "words"])
+            for at in range(0, len(batch), _SLICE):
+                part = batch.slice(at, _SLICE)
+                found = [b" ".join(sorted(both_words(t.as_py(), decoder))) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "label", "words"])
+
+    def seen_in(batches):
+        return (x for batch in batches for x in word_counts(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)))
 
     # Of rows with one id, the text with the smallest hash counts.
     text = F.coalesce("text", F.lit(""))
     rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64(text).alias("hash"), text.alias("text"))).alias("t"))
-    rows = materialize(rows.select("doc_id", "t.text", "label").mapInArrow(words, "doc_id bigint, label int, words array<binary>"), "toxicity-rows")
+    rows = materialize(rows.select("doc_id", "t.text", "label").mapInArrow(words, "doc_id bigint, label int, words binary"), "toxicity-rows")
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     p1, p0 = max(n.get(1, 0), 1), max(n.get(0, 0), 1)
-    seen = rows.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    seen = rows.select("label", "words").mapInArrow(seen_in, "word binary, pos bigint, neg bigint").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     a, b = (F.col("pos") + 0.5) / p1, (F.col("neg") + 0.5) / p0
     tells = F.abs(F.log(a / b)) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     # All words of the sample that tell something about the label; their number is bounded by the sample.
@@ -201,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, decoder_of, max_train: int = MAX_T
 
     def encode(batches):
         for batch in batches:
-            found = [np.array([slot[w] for w in words if w in slot], np.int32).tobytes() for words in batch.column(2).to_pylist()]
+            found = [np.array(sorted(slot[w] for w in with_beginnings(set(words.as_py().split())) if w in slot), np.int32).tobytes() for words in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "slots"])
 
     # Slots of words come back, packed; the words themselves stay where they are.
@@ -260,14 +300,14 @@ def scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(own, marks, decoder_of, max_train)
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         if held.value is None:
-            return pd.Series(np.zeros(len(texts)))
+            return pa.array(np.zeros(len(texts)))
         weights, intercept = held.value
         decoder = decoder_of()
         known = weights.keys()
-        return pd.Series([1 / (1 + np.exp(-(intercept + sum(sorted(weights[w] for w in known & features(t, decoder)))))) for t in texts])
+        return pa.array([1 / (1 + np.exp(-(intercept + sum(sorted(weights[w] for w in known & features(t.as_py(), decoder)))))) for t in texts], pa.float64())
 
     return score
 

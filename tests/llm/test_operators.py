@@ -1,12 +1,14 @@
 """Each operator against a plain version of itself on awkward rows, and on an empty table."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import AccumulatorParam
 from tokenizers import Tokenizer
 
 from gridloom.llm import components, decontamination, exact_dedup, license_scan, line_dedup, packing, secret_scan, simhash_dedup, suffix_dedup, token_counts, tokenizer, toxicity
@@ -601,6 +603,54 @@ def test_no_labels(spark):
     assert [r["score"] for r in df.collect()] == [0.0, 0.0]
 
 
+def test_training_holds_little(spark, monkeypatch):
+    """What a task of the training holds in Python doesn't grow with the rows of a batch: their features are several times their texts."""
+    import tracemalloc
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plain, peaks = DataFrame.mapInArrow, spark.sparkContext.accumulator(0, Most())
+
+    def watched(self, func, schema, *rest):
+        def run(batches):
+            tracemalloc.start()
+            yield from func(batches)
+            peaks.add(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+
+        return plain(self, run, schema, *rest)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    texts = [" ".join(f"{w}{i % 7}" for w in t.split()) for i, t in enumerate(map(" ".join, itertools.batched(prose(43, 24_000, 20_000), 8)))]
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)]).coalesce(1)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id bigint, toxic int").coalesce(1)
+    toxicity.scorer(docs, marks)
+    assert 0 < peaks.value < 16 << 20
+
+
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return 0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
+def test_trigrams_of_long_texts():
+    import tracemalloc
+
+    text = " ".join(prose(44, 4000) * 4)
+    gram = lambda c: 27 if ord(c) > 127 else ord(c) - 96 if c in toxicity.LETTERS else 0
+    s = [0, 0, *(x for c in text.lower() for x in [gram(c)] * len(c.encode())), 0]
+    want = np.zeros(toxicity.SIZE**3, np.int64)
+    np.add.at(want, [(a * toxicity.SIZE + b) * toxicity.SIZE + c for a, b, c in zip(s, s[1:], s[2:], strict=False)], 1)
+    tracemalloc.start()
+    found = toxicity.trigram_counts([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 2 * toxicity._BLOCK and (found == want).all() and peak < 4 * len(text) + (12 << 20)
+
+
 def test_decoding_is_best():
     import itertools
     import math
